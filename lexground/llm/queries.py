@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, near_dedup, packing, token_counts
+from . import ann, chat, html_text, licenses, mixing, near_dedup, packing, quality, token_counts, toxicity
 from .common import table
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"))
@@ -20,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return copies.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").cast("long").alias("n_copies"), F.col("mix_copy").cast("long").alias("copy"), F.col("mix_key").alias("shuffle_key"))
@@ -33,12 +41,25 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *quality.METRICS]
+    return quality.judge(table(spark, sf_dir, "documents")).select(*names)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ann.usable(table(spark, sf_dir, "embeddings"))
     return ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_best_fit_packing, op4_minhash_near_dedup, op6_source_mixing, op7_token_counts, op10_nearest_neighbours)}
+_ALL = (
+    op1_license_scans, op2_chat_formatting, op3_best_fit_packing, op4_minhash_near_dedup, op5_html_extraction,
+    op6_source_mixing, op7_token_counts, op8_quality_rules, op9_toxicity, op10_nearest_neighbours,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 
 def _escaped(c: str) -> str:
