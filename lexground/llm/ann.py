@@ -191,7 +191,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     cells = min(MAX_CELLS, 2 ** math.ceil(math.log2(max(1, n / CELL_ROWS))))
     # a hash order makes the sample the same each time; it fits the tree only
     share = min(1.0, 2 * SAMPLE / max(1, n))
-    sampled = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).toPandas()
+    sampled = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).toArrow().to_pandas()
     tree = split_tree(_projected(sampled)[1], cells) if len(sampled) and cells > 1 else split_tree(np.zeros((1, M)), 1)
     stop2 = chi_square_quantile(SURE)
 

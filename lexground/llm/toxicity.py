@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-ORDER, WINDOW = 7, 2
-MAX_LABELLED, MAX_GRAMS, MAX_WORDS, MAX_CALIBRATED = 60_000, 700_000, 300_000, 20_000
+ORDER, WINDOW = 6, 2
+MAX_LABELLED, MAX_GRAMS, MAX_WORDS, MAX_CALIBRATED = 60_000, 300_000, 100_000, 20_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 MEMO_WORDS = 500_000
 _word = re.compile(r"\w+")
@@ -96,15 +96,17 @@ class KneserNey:
                 seen = np.where(total > 0, np.maximum(c - discount, 0) / total, 0.0)
             log_p[k] = np.log(seen + backoff * lower)
             log_backoff[k] = np.log(backoff)
-        names = contexts.to_numpy()
-        self.gram = dict(zip(grams, (log_p[1] - log_p[0]).round(5).tolist(), strict=True))
-        self.context = dict(zip(names, (log_backoff[1] - log_backoff[0]).round(5).tolist(), strict=True))
-        spelling = {k: (dict(zip(grams, log_p[k].tolist(), strict=True)), dict(zip(names, log_backoff[k].tolist(), strict=True))) for k in (0, 1)}
+        places = {g: i for i, g in enumerate(grams)}
+        of_context = {h: i for i, h in enumerate(contexts)}  # any place of a context has its backoff
         self.known: dict[str, float] = {}
-        self._whole_words(words, spelling, shared)
+        self._whole_words(words, places, of_context, log_p, log_backoff, shared)
+        del shared
+        self.gram = dict(zip(grams, (log_p[1] - log_p[0]).round(5).tolist(), strict=True))
+        backoff = (log_backoff[1] - log_backoff[0]).round(5)
+        self.context = {h: float(backoff[i]) for h, i in of_context.items() if backoff[i]}
         self.memo: dict[str, float] = {}
 
-    def _whole_words(self, words: dict, spelling: dict, shared: dict) -> None:
+    def _whole_words(self, words: dict, places: dict, of_context: dict, spelt_log_p: dict, spelt_backoff: dict, shared: dict) -> None:
         """The first level: discounted occurrences of words, and the mass left to spellings."""
         from math import exp, log
 
@@ -116,8 +118,13 @@ class KneserNey:
             left[k] = max(discount[k] * len(seen) / total[k], 1e-6)
         for w, n in words.items():
             for k, at in ((1, 0), (0, 1)):
-                own, backoff = spelling[k]
-                by_letters = sum(own[g] if g in own else backoff.get(g[:-1], 0.0) + log(shared.get(g[1:], 1e-4)) for g in spelt(w, self.order))
+                by_letters = 0.0
+                for g in spelt(w, self.order):
+                    if (i := places.get(g)) is not None:
+                        by_letters += spelt_log_p[k][i]
+                    else:
+                        i = of_context.get(g[:-1])
+                        by_letters += (0.0 if i is None else spelt_backoff[k][i]) + log(shared.get(g[1:], 1e-4))
                 log_p[k] = log(max(n[at] - discount[k], 0) / total[k] + left[k] * exp(by_letters) + 1e-300)
             self.known[w] = round(log_p[1] - log_p[0], 5)
         self.unknown = log(left[1]) - log(left[0])
@@ -203,13 +210,13 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[KneserNey, list[floa
     counts = gram_counts(learn).withColumn("n", F.col("toxic") + F.col("ordinary"))
     whole = F.col("gram").startswith(WHOLE)
     counts = cut(counts)
-    rows, words = (counts.filter(is_kind).orderBy(F.desc("n"), "gram").limit(most).toPandas().sort_values("gram") for is_kind, most in ((~whole, MAX_GRAMS), (whole, MAX_WORDS)))
+    rows, words = (counts.filter(is_kind).orderBy(F.desc("n"), "gram").limit(most).toArrow().to_pandas().sort_values("gram") for is_kind, most in ((~whole, MAX_GRAMS), (whole, MAX_WORDS)))
     if not len(rows) or not rows["toxic"].sum() or not rows["ordinary"].sum():
         return None
     known_words = {w[1:]: (t, o) for w, t, o in zip(words["gram"], words["toxic"].tolist(), words["ordinary"].tolist(), strict=True)}
     model = KneserNey(rows["gram"].tolist(), rows["toxic"], rows["ordinary"], known_words)
     held = texts.join(F.broadcast(_bounded(known.filter(F.col("fold") == CALIBRATION), MAX_CALIBRATED)), "doc_id")
-    found = _features(held.select("doc_id", "toxic", "text"), model).toPandas()
+    found = _features(held.select("doc_id", "toxic", "text"), model).toArrow().to_pandas()
     if found["toxic"].nunique() < 2:
         return model, [8.0, 0.0, 0.0, -8.0]
     return model, logistic(np.c_[found["window"], found["mean"], found["log_words"]], found["toxic"])
