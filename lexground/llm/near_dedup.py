@@ -11,15 +11,15 @@ linked if their weighted Jaccard similarity is 0.8 or more.
 * Bands of ``ROWS`` coordinates make buckets.  Documents with the same words are one node from the start, so copies never
   meet in a bucket.  In a bucket each document is a candidate with the bucket's pivots: the members that collide most over
   all bands, hence near the middle of their group, so a group of m near copies gives about m candidates, not m squared.
-  Members that match no pivot go through further rounds with more pivots each, until no bucket holds two of them; so small
-  buckets are compared in full and no cap drops a candidate.
+  Members that match no pivot go through further rounds with more pivots each, until no bucket holds two of them, and small
+  buckets are compared in full; so no cap drops a candidate.
 * Each candidate pair is verified on its whole shingle multisets.
 * Classes are the connected components of the links; a class is named by its least doc_id.
 
 With 0.8 similarity a pair shares a bucket with probability 1 - (1 - 0.8**6)**20 = 0.998.
 
 Defined cases: null or word-less texts are copies of each other; under five words, the text is one shingle; rows that
-repeat a doc_id are one document; a null doc_id gets a null class; other columns are ignored; no rows give no rows.
+repeat a doc_id with another text are judged by each text; a null doc_id gets a null class; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ ROWS, BANDS = 6, 20
 COORDINATES = ROWS * BANDS
 #: Darts expected of a document in the first throw; about one document in eight then needs a second.
 DARTS = int(COORDINATES * (math.log(COORDINATES) + 2))
-#: Pivots of a bucket in the first round, and by how much they grow in each further round.
-PIVOTS, GROWTH = 2, 8
+#: Buckets up to this size are compared in full; the pivots of larger ones in the first round, and by how much they grow in
+#: each further round.
+SMALL, PIVOTS, GROWTH = 8, 1, 8
 _MEMO_WORDS = 400_000
 _word = re.compile(r"\w+")
 
@@ -211,17 +212,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("class_id"))
 
 
-def links(bands: DataFrame, sets_of, similarity: float = SIMILARITY, pivots: int = PIVOTS, growth: int = GROWTH) -> DataFrame:
+def links(bands: DataFrame, sets_of, similarity: float = SIMILARITY, small: int = SMALL, pivots: int = PIVOTS, growth: int = GROWTH) -> DataFrame:
     """Verified links (a, b), a < b, among the (node, band) rows.  ``sets_of``: from nodes to their region sets."""
     crowd = bands.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
     left = cut(bands.join(crowd, "band"))
     reach = left.groupBy("node").agg(F.sum("crowd").alias("reach"))
-    left = cut(left.join(reach, "node").select("band", "node", "reach"))
+    left = cut(left.join(reach, "node").select("band", "node", "reach", "crowd"))
     sets = cut(sets_of(left.select("node").distinct()))
     found = None
     while True:
         order = Window.partitionBy("band").orderBy(F.desc("reach"), "node")
-        chosen = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pivots).select("band", F.col("node").alias("pivot"))
+        chosen = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(pivots, small))
+        chosen = chosen.filter((F.col("place") <= pivots) | (F.col("crowd") <= small)).select("band", F.col("node").alias("pivot"))
         met = left.join(chosen, "band").filter("node <> pivot")
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         now = cut(_verified(pairs, sets, similarity))
@@ -231,7 +233,7 @@ def links(bands: DataFrame, sets_of, similarity: float = SIMILARITY, pivots: int
         out = hits.union(chosen.select("band", F.col("pivot").alias("node"))).distinct()
         rest = left.join(out, ["band", "node"], "left_anti")
         many = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-        left = cut(rest.join(many, "band").select("band", "node", "reach"))
+        left = cut(rest.join(many, "band").select("band", "node", "reach", "crowd"))
         if left.isEmpty():
             return found.distinct()
         pivots *= growth
