@@ -61,8 +61,11 @@ def document_title(c: Column) -> Column:
 def clean_title(c: Column) -> Column:
     """One of each trailing mark in turn, white space, 120 characters at a word's end."""
     c = strip(c)
-    for mark in TRAILING:
-        c = F.when(c.endswith(mark), strip(c.substr(F.lit(1), F.length(c) - 1))).otherwise(c)
-    c = collapse(c)
-    c = F.when(F.length(c) > 120, F.regexp_replace(F.substring(c, 1, 120), r"(?s)^(.*) [^ ]*$", "$1")).otherwise(c)
-    return F.when(F.length(c) > 3, c).otherwise(F.lit("Unknown"))
+    for mark in TRAILING:  # each step names its input once, so nothing is computed twice
+        c = strip(F.regexp_replace(c, rf"\{mark}\z", "") if mark.isascii() else F.regexp_replace(c, rf"{mark}\z", ""))
+
+    def cut(t: Column) -> Column:
+        t = F.when(F.length(t) > 120, F.regexp_replace(F.substring(t, 1, 120), r"(?s)^(.*) [^ ]*$", "$1")).otherwise(t)
+        return F.when(F.length(t) > 3, t).otherwise(F.lit("Unknown"))
+
+    return F.transform(F.array(collapse(c)), cut)[0]

@@ -16,12 +16,15 @@ _CUT = "\x01"
 
 def article_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, pos, article, title, content, token_count of articles of at least 50 tokens; one pass finds whole articles."""
+    head = r"(?i)^\s*(\d+[A-Z]?)\s*[.—\-]?\s*([^\n]+?)\n"
+    # rows are made in two steps, so that what a step computes is an attribute to the next and computed once
     whole = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(ARTICLE), 0)).alias("pos", "whole"))
-    number, title, body = (F.regexp_extract("whole", r"(?i)^\s*(\d+[A-Z]?)\s*[.—\-]?\s*([^\n]+?)\n([\s\S]*)$", i) for i in (1, 2, 3))
-    rows = whole.select("doc_id", "pos", strip(number).alias("article"), clean_title(title).alias("title"), strip(body).alias("body"))
-    content = F.concat(F.lit("Article "), "article", F.lit(". "), "title", F.lit("\n"), "body")
-    rows = rows.withColumn("content", content).withColumn("token_count", token_count("content"))
-    return rows.filter(F.col("token_count") >= MIN_TOKENS).drop("body")
+    parts = F.struct(F.regexp_extract("whole", head, 1).alias("article"), clean_title(F.regexp_extract("whole", head, 2)).alias("title"), strip(F.regexp_replace("whole", head, "")).alias("body"))
+    rows = whole.select("doc_id", "pos", F.explode(F.array(parts)).alias("p"))
+    content = F.concat(F.lit("Article "), "p.article", F.lit(". "), "p.title", F.lit("\n"), "p.body")
+    rows = rows.select("doc_id", "pos", "p.article", "p.title", F.explode(F.array(content)).alias("content"))
+    rows = rows.select("doc_id", "pos", "article", "title", "content", F.explode(F.array(token_count("content"))).alias("token_count"))
+    return rows.filter(F.col("token_count") >= MIN_TOKENS)
 
 
 def smart_subdivide(chunks: DataFrame) -> DataFrame:
@@ -29,7 +32,8 @@ def smart_subdivide(chunks: DataFrame) -> DataFrame:
     marked = F.split(F.regexp_replace("content", r"(\n\s*\(\d+\)\s*)", _CUT + "$1"), _CUT)
     parts = F.filter(F.transform(F.slice(marked, 2, 2**31 - 1), strip), lambda p: token_count(p) >= MIN_TOKENS)
     divide = (F.col("token_count") >= SUBDIVIDE_FROM) & (F.size("parts") > 1)
-    rows = chunks.withColumn("parts", parts).withColumn("divide", divide)
+    marked_only = F.when(F.col("token_count") >= SUBDIVIDE_FROM, parts).otherwise(F.array().cast("array<string>"))
+    rows = chunks.select("*", F.explode(F.array(marked_only)).alias("parts")).withColumn("divide", divide)
     rows = rows.select(
         "*", F.posexplode(F.when(F.col("divide"), F.col("parts")).otherwise(F.array("content"))).alias("sub", "piece")
     )

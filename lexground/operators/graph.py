@@ -11,7 +11,9 @@ KINDS = {"articles": article_refs, "sections": section_refs, "parts": part_refs,
 
 
 def with_entities(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumns({name: f(F.col("content")) for name, f in KINDS.items()})
+    """Adds an array per kind.  The generator makes them attributes, computed once however often they are used."""
+    found = F.struct(*[f(F.col("content")).alias(name) for name, f in KINDS.items()])
+    return chunks.select("*", F.explode(F.array(found)).alias("found")).select(*chunks.columns, "found.*")
 
 
 def entities(found: DataFrame) -> DataFrame:
@@ -21,20 +23,14 @@ def entities(found: DataFrame) -> DataFrame:
 def relations(found: DataFrame) -> DataFrame:
     """doc_id, pos, src, relationship_type, dst; pairs of articles are ordered by name."""
     own = F.concat(F.lit("Article_"), "article")
-    parts = []
-    for kind, column in (("discusses", "concepts"), ("interpreted_by", "cases"), ("refers_to", "sections")):
-        rows = found.filter("article is not null")
-        parts.append(rows.select("doc_id", "pos", own.alias("src"), F.lit(kind).alias("relationship_type"), F.explode(column).alias("dst")))
-    # pairs are made inside the row, so no self-join is needed
+    relation = lambda src, kind, dst: F.struct(src.alias("src"), F.lit(kind).alias("relationship_type"), dst.alias("dst"))
+    of_article = F.concat(*[F.transform(column, lambda x, kind=kind: relation(own, kind, x)) for kind, column in (("discusses", "concepts"), ("interpreted_by", "cases"), ("refers_to", "sections"))])
+    none = F.filter(of_article, lambda x: F.lit(False))
+    # pairs are made inside the row, so no self-join is needed, and the chunk is read once
     ordered = F.array_sort("articles")
-    pairs = F.flatten(F.transform(ordered, lambda a: F.transform(F.filter(ordered, lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    near = found.filter(F.size("articles") > 1).select("doc_id", "pos", "content", F.explode(pairs).alias("p"))
-    near = near.filter(close_in_text(F.col("content"), F.col("p.src"), F.col("p.dst")))
-    parts.append(near.select("doc_id", "pos", "p.src", F.lit("related_to").alias("relationship_type"), "p.dst"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = F.flatten(F.transform(ordered, lambda a: F.transform(F.filter(ordered, lambda b: (b > a) & close_in_text(F.col("content"), a, b)), lambda b: relation(a, "related_to", b))))
+    rows = found.select("doc_id", "pos", F.explode(F.concat(F.when(F.col("article").isNotNull(), of_article).otherwise(none), pairs)).alias("r"))
+    return rows.select("doc_id", "pos", "r.*")
 
 
 def nodes(found_entities: DataFrame) -> DataFrame:

@@ -1 +1,91 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL of the registered retrieval queries."""
+
+from __future__ import annotations
+
+from ..functions.entities import CONCEPTS
+from ..operators.spans import GENERIC
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_TOKENS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
+
+
+def strip(c: str) -> str:
+    return _STRIP.format(c)
+
+
+def tokens(c: str) -> str:
+    return _TOKENS.format(c)
+
+
+_LIST = "[" + ", ".join(f"'{c}'" for c in CONCEPTS) + "]"
+#: One row per line of a document: what the statute view makes of it.
+LINES = f"""
+lines AS (SELECT doc_id, j, p FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents)),
+parts AS (SELECT doc_id, j, p, p || ' See Article ' || CAST((doc_id + j) % 60 AS VARCHAR) || ' and Section ' || CAST((doc_id * j) % 37 AS VARCHAR) || '. It concerns ' ||
+  {_LIST}[(doc_id + j - 1) % {len(CONCEPTS)} + 1] || ' under Part III. (Alpha Beta v. Gamma Delta, 1978)' ||
+  CASE WHEN (doc_id + j - 1) % 4 = 0 THEN chr(10) || '(1) ' || p || chr(10) || '(2) ' || p ELSE '' END AS body FROM lines),
+articles AS (SELECT doc_id, j, p, CAST(j AS VARCHAR) AS article, 'Title of ' || CAST(j AS VARCHAR) AS title,
+  'Article ' || CAST(j AS VARCHAR) || '. Title of ' || CAST(j AS VARCHAR) || chr(10) || {strip('body')} AS content FROM parts),
+kept AS (SELECT *, {tokens('content')} AS token_count FROM articles WHERE {tokens('content')} >= 50)
+"""
+_NOISY = r"(SELECT doc_id, '[PAGE_1]' || chr(10) || 'THE INDIAN  EVIDENCE ACT, 1872' || chr(10) || text || chr(10) || ' 12 ' || chr(10) || 'hy-' || chr(10) || 'phen [3]  a ' || chr(9) || ' b ****' || chr(10) || chr(10) || chr(10) || chr(10) || ' 7' || chr(10) || 'end' || chr(10) || '9' AS text FROM documents)"
+_PIECES = f"""pieces AS (SELECT doc_id, {strip('p')} AS content FROM (SELECT doc_id, unnest(CASE WHEN contains(text, chr(10) || chr(10)) THEN string_split(text, chr(10) || chr(10)) WHEN contains(text, chr(10)) THEN string_split(text, chr(10))
+  WHEN contains(text, '. ') THEN string_split(text, '. ') ELSE string_split(text, ' ') END) AS p FROM documents)),
+chunks AS (SELECT doc_id, content, {tokens('content')} AS token_count FROM pieces WHERE {tokens('content')} BETWEEN 50 AND 1024)"""
+_RING = """ring AS (SELECT DISTINCT src, dst FROM (SELECT 'Article_' || i AS src, 'Article_' || ((i + 1) % 50) AS dst FROM range(50) t(i) WHERE i % 7 <> 0
+  UNION ALL SELECT 'Article_' || i, 'Article_' || ((i * 3 + 1) % 50) FROM range(50) t(i) WHERE i % 5 = 0)),
+both_ways AS (SELECT src, dst FROM ring UNION SELECT dst, src FROM ring),
+hop1 AS (SELECT DISTINCT 'Article_' || (i * 5) AS seed, dst AS entity FROM range(10) t(i) JOIN both_ways ON src = 'Article_' || (i * 5)),
+near AS (SELECT * FROM hop1 UNION SELECT seed, b.dst FROM hop1 JOIN both_ways b ON b.src = hop1.entity)"""
+_ANSWERS = """turns AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context FROM conversations),
+answers AS (SELECT conv_id * 1000 + turn AS answer_id, text || CASE WHEN turn % 3 = 1 THEN ' according to the act.' ELSE '' END AS answer, context FROM turns WHERE role = 'assistant'),
+sentences AS (SELECT answer_id, unnest(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM answers),
+worded AS (SELECT answer_id, s, list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '') AS w FROM sentences),
+spans AS (SELECT DISTINCT answer_id, span FROM (SELECT answer_id, """ + strip("s") + """ AS span FROM worded WHERE len(w) < 5
+  UNION ALL SELECT answer_id, array_to_string(w[i:i + n - 1], ' ') FROM worded, range(4, 8) a(n), range(1, 5000) b(i) WHERE len(w) >= 5 AND i + n - 1 <= len(w)))"""
+_GENERIC = " OR ".join(f"contains(lower(span), '{g}')" for g in GENERIC)
+_DIMS = "list_transform(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''), lambda w: CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64)"
+_DETECT = _ANSWERS + f""",
+specific AS (SELECT * FROM spans WHERE NOT ({_GENERIC}) AND {tokens('span')} >= 3),
+ctx AS (SELECT answer_id, list_transform(range(64), lambda d: CAST(len(list_filter(dims, lambda x: x = d)) AS DOUBLE)) AS dense FROM (SELECT answer_id, {_DIMS.format('context')} AS dims FROM answers)),
+normed AS (SELECT answer_id, dense, sqrt(list_inner_product(dense, dense)) AS n FROM ctx),
+scored AS (SELECT s.answer_id, span, n, {_DIMS.format('span')} AS dims, dense FROM specific s JOIN normed USING (answer_id)),
+cosines AS (SELECT answer_id, span, CASE WHEN n = 0 OR len(dims) = 0 THEN 0.0 ELSE list_sum(list_transform(dims, lambda d: dense[d + 1])) /
+  (sqrt(list_sum(list_transform(dims, lambda d: CAST(len(list_filter(dims, lambda x: x = d)) AS DOUBLE)))) * n) END AS c FROM scored),
+detected AS (SELECT answer_id, span, round(c, 4) AS confidence, CASE WHEN round(c, 9) >= 0.65 THEN 'supported' WHEN round(c, 9) >= 0.40 THEN 'uncertain' ELSE 'hallucinated' END AS status FROM cosines)"""
+_TOP = """sims AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) /
+  (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))) AS c
+  FROM embeddings e, embeddings q WHERE q.vec_id < 10),
+top AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, id) - 1 AS rank, round(c, 4) AS similarity_score FROM sims) WHERE rank < 5)"""
+
+
+def refs(pattern: str, prefix: str) -> str:
+    return f"WITH {LINES}, t AS (SELECT doc_id, string_agg(chr(10) || j || '. Title of ' || j || '.' || chr(10) || body, '' ORDER BY j) AS text FROM parts GROUP BY doc_id) SELECT DISTINCT doc_id, '{prefix}' || unnest(regexp_extract_all(text, '{pattern}', 1)) AS entity FROM t"
+
+
+ORACLES: dict[str, str] = {
+    "vector_topk": f"WITH {_TOP} SELECT * FROM top",
+    "embedding_normalize": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS l FROM v) SELECT vec_id, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END AS norm, round(v[1] / l, 5) AS first, len(v) AS dim FROM n",
+    "centroid_mean_pool": "SELECT label, i - 1 AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2",
+    "token_count": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
+    "recursive_chunks": f"WITH {_PIECES} SELECT doc_id, content, token_count FROM chunks",
+    "chunk_report": f"WITH {_PIECES} SELECT count(*) AS total_chunks, CAST(sum(token_count) AS BIGINT) AS total_tokens, round(avg(token_count), 1) AS avg_tokens, max(token_count) AS max_tokens, min(token_count) AS min_tokens, count(*) FILTER (WHERE token_count > 512) AS oversized FROM chunks",
+    "sample_chunks": f"WITH {_PIECES} SELECT doc_id, md5('0:' || doc_id || ':' || md5(content)) AS sample_key, substr(content, 1, 500) AS preview FROM chunks ORDER BY sample_key LIMIT 5",
+    "clean_raw_text": "SELECT doc_id, " + strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[PAGE_\d+\]', '', 'g'), '-\n', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)^\s*\d+\s*$', '', 'g')") + f" AS cleaned FROM {_NOISY}",
+    "remove_footers": r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)\n\s*\d{1,3}\s*$', '', 'g'), '\[\d+\]', '', 'g'), '\*{3,}', '', 'g') AS cleaned FROM " + _NOISY,
+    "clean_text": "SELECT doc_id, " + strip(r"regexp_replace(text, '\s+', ' ', 'g')") + f" AS cleaned FROM {_NOISY}",
+    "pages_to_text": r"SELECT conv_id AS doc_id, string_agg('[PAGE_' || (turn + 1) || ']' || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> '' GROUP BY conv_id",
+    "article_chunks": f"WITH {LINES} SELECT doc_id, article, title, content, token_count FROM kept",
+    "article_refs": refs(r"(?i)(?:Article|Art\.?)\s+(\d+[A-Z]?)", "Article_"),
+    "section_refs": refs(r"(?i)(?:Section|Sec\.?)\s+(\d+[A-Z]?)", "Section_"),
+    "part_refs": refs(r"(?i)Part\s+([IVX]+[A-Z]?)", "Part_"),
+    "graph_volume_edges": "SELECT 'Article_' || (l_partkey % 400) AS src, 'Section_' || ((l_partkey * 7 + l_linenumber) % 900) AS dst, count(*) AS weight FROM lineitem GROUP BY 1, 2",
+    "graph_neighbors": f"WITH {_RING} SELECT DISTINCT seed, entity FROM near",
+    "graph_distance": f"WITH RECURSIVE {_RING}, walk AS (SELECT DISTINCT seed, seed AS node, 0 AS d FROM near UNION SELECT seed, r.dst, d + 1 FROM walk JOIN ring r ON r.src = walk.node WHERE d < 12) SELECT n.seed, n.entity, coalesce(CAST(min(d) AS DOUBLE), -1.0) AS graph_distance FROM (SELECT DISTINCT * FROM near) n LEFT JOIN walk w ON w.seed = n.seed AND w.node = n.entity GROUP BY 1, 2",
+    "answer_spans": f"WITH {_ANSWERS} SELECT answer_id, span FROM spans",
+    "generic_span_filter": f"WITH {_ANSWERS} SELECT answer_id, count(*) AS spans FROM spans WHERE NOT ({_GENERIC}) AND {tokens('span')} >= 3 GROUP BY 1",
+    "span_status": f"WITH {_DETECT} SELECT * FROM detected",
+    "hallucinated_spans": f"WITH {_DETECT} SELECT * FROM detected WHERE status = 'hallucinated'",
+    "hallucination_summary": f"WITH {_DETECT} SELECT a.answer_id, count(status) AS total_spans, count(*) FILTER (WHERE status = 'supported') AS supported, count(*) FILTER (WHERE status = 'uncertain') AS uncertain, count(*) FILTER (WHERE status = 'hallucinated') AS hallucinated, CASE WHEN count(status) > 0 THEN round(count(*) FILTER (WHERE status = 'hallucinated') / count(status), 4) ELSE 0.0 END AS hallucination_rate FROM answers a LEFT JOIN detected d USING (answer_id) GROUP BY 1",
+    "faithfulness_scores": f"WITH {_DETECT}, s AS (SELECT answer_id, avg(CASE WHEN status = 'supported' THEN 1.0 ELSE 0.0 END) AS f, 1 - avg(CASE WHEN status = 'hallucinated' THEN 1.0 ELSE 0.0 END) AS u, sum(CASE WHEN status <> 'hallucinated' THEN confidence ELSE 0.0 END) / count(*) AS e FROM detected GROUP BY 1) SELECT a.answer_id, round(coalesce(f, 0), 4) AS faithfulness_score, round(coalesce(u, 0), 4) AS unsupported_claim_score, round(coalesce(e, 0), 4) AS evidence_coverage_score, round(coalesce(0.5 * f + 0.3 * u + 0.2 * e, 0), 4) AS overall_faithfulness FROM answers a LEFT JOIN s USING (answer_id)",
+}

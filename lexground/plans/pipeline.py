@@ -15,7 +15,7 @@ def build_chunks(documents: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def build_graph(chunks: DataFrame) -> dict[str, DataFrame]:
-    found = graph.with_entities(chunks)
+    found = graph.with_entities(chunks).checkpoint()  # read several times below
     nodes = graph.nodes(graph.entities(found))
     edges = graph.edges(graph.relations(found), nodes)
     return {"nodes": nodes, "edges": edges, "entity_chunks": graph.entity_chunks(found, nodes)}

@@ -28,7 +28,8 @@ def statutes(spark: SparkSession, d: str) -> DataFrame:
             F.lit(" See Article "), ((F.col("doc_id") + j + 1) % 60).cast("string"), F.lit(" and Section "), ((F.col("doc_id") * (j + 1)) % 37).cast("string"),
             F.lit(". It concerns "), F.element_at(names, ((F.col("doc_id") + j) % len(CONCEPTS) + 1).cast("int")), F.lit(" under Part III. (Alpha Beta v. Gamma Delta, 1978)"),
         )
-        return F.concat(F.lit("\n"), n, F.lit(". Title of "), n, F.lit(".\n"), p, tail, F.lit("\n(1) "), p, F.lit("\n(2) "), p)
+        marked = F.when((F.col("doc_id") + j) % 4 == 0, F.concat(F.lit("\n(1) "), p, F.lit("\n(2) "), p)).otherwise("")
+        return F.concat(F.lit("\n"), n, F.lit(". Title of "), n, F.lit(".\n"), p, tail, marked)
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     return _read(spark, d, "documents").select("doc_id", F.array_join(F.transform(lines, article), "").alias("text"))
@@ -130,7 +131,8 @@ def relations(spark, d):
 
 
 def _tables(spark, d):
-    found = _found(spark, d)
+    from_checkpoint(spark)
+    found = _found(spark, d).checkpoint()  # read three times below
     nodes = graph.nodes(graph.entities(found))
     return found, nodes, graph.edges(graph.relations(found), nodes)
 
