@@ -24,7 +24,11 @@ def relations(found: DataFrame) -> DataFrame:
     """doc_id, pos, src, relationship_type, dst; pairs of articles are ordered by name."""
     own = F.concat(F.lit("Article_"), "article")
     relation = lambda src, kind, dst: F.struct(src.alias("src"), F.lit(kind).alias("relationship_type"), dst.alias("dst"))
-    of_article = F.concat(*[F.transform(column, lambda x, kind=kind: relation(own, kind, x)) for kind, column in (("discusses", "concepts"), ("interpreted_by", "cases"), ("refers_to", "sections"))])
+
+    def of(kind: str, column: str):
+        return F.transform(column, lambda x: relation(own, kind, x))
+
+    of_article = F.concat(of("discusses", "concepts"), of("interpreted_by", "cases"), of("refers_to", "sections"))
     none = F.filter(of_article, lambda x: F.lit(False))
     # pairs are made inside the row, so no self-join is needed, and the chunk is read once
     ordered = F.array_sort("articles")
