@@ -15,6 +15,10 @@ CONCEPTS = (
     "right to property", "right to education", "right to work", "justice", "due process", "equal protection", "state", "constitution", "parliament", "amendment",
 )
 
+#: The same matches: one that starts inside a run of letters and blanks also starts at the run's beginning or where the last
+#: match ended, so no other start is tried, which keeps the search linear in a run.
+CASE_ANCHORED = r"(?:\G|(?<![A-Za-z\s]))" + CASE
+
 
 def _refs(c: Column | str, pattern: str, prefix: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), lambda x: F.concat(F.lit(prefix), x)))
@@ -35,7 +39,7 @@ def part_refs(c: Column | str) -> Column:
 def case_refs(c: Column) -> Column:
     """X_v_Y; both raw sides longer than three characters.  Rows without a separator skip the pattern, which is slow on long
     runs of letters."""
-    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(CASE), 1).alias("a"), F.regexp_extract_all(c, F.lit(CASE), 2).alias("b"))
+    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(CASE_ANCHORED), 1).alias("a"), F.regexp_extract_all(c, F.lit(CASE_ANCHORED), 2).alias("b"))
     kept = F.filter(pairs, lambda p: (F.length(p["a"]) > 3) & (F.length(p["b"]) > 3))
     found = F.array_distinct(F.transform(kept, lambda p: F.concat(strip(p["a"]), F.lit("_v_"), strip(p["b"]))))
     return F.when(c.rlike(r"\s(?:v\.|vs)"), found).otherwise(F.array().cast("array<string>"))
