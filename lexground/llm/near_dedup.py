@@ -12,7 +12,9 @@ linked if their weighted Jaccard similarity is 0.8 or more.
   meet in a bucket.  In a bucket each document is a candidate with the bucket's pivots: the members that collide most over
   all bands, hence near the middle of their group, so a group of m near copies gives about m candidates, not m squared.
   Members that match no pivot go through further rounds with more pivots each, until no bucket holds two of them, and small
-  buckets are compared in full; so no cap drops a candidate.
+  buckets are compared in full.  What this has not joined is then compared across: wherever a bucket still holds several
+  classes, every pair of its members from different classes is verified, so each pair that shares a bucket is either
+  verified or in one class already, and no cap drops a candidate.
 * Each candidate pair is verified on its whole shingle multisets.
 * Classes are the connected components of the links; a class is named by its least doc_id.
 
@@ -212,12 +214,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("class_id"))
 
 
+def across(buckets: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Verified links between members of one bucket (node, band) that ``found`` (a, b) leaves in different classes.  The
+    bucket's largest class is met only by the members outside it, and sizes too different for the similarity never meet."""
+    size = sets.select("node", (F.octet_length("regions") / 8).alias("size"))
+    named = size.join(components(found), "node", "left").select("node", "size", F.coalesce("class_id", "node").alias("class_id"))
+    rows = buckets.select("band", "node").join(named, "node")
+    shares = rows.groupBy("band", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    largest = shares.groupBy("band").agg(F.max(F.struct("n", "class_id"))["class_id"].alias("largest"), F.count(F.lit(1)).alias("k"))
+    rows = cut(rows.join(largest.filter("k > 1").select("band", "largest"), "band"))
+    few = rows.filter("class_id <> largest").select("band", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("class_id").alias("x_class"))
+    fits = F.least("size", "x_size") >= similarity * F.greatest("size", "x_size")
+    once = (F.col("class_id") == F.col("largest")) | (F.col("x") < F.col("node"))
+    met = rows.join(few, (rows["band"] == few["band"]) & (F.col("class_id") != F.col("x_class")) & once & fits)
+    pairs = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return cut(_verified(pairs, sets, similarity))
+
+
 def links(bands: DataFrame, sets_of, similarity: float = SIMILARITY, small: int = SMALL, pivots: int = PIVOTS, growth: int = GROWTH) -> DataFrame:
     """Verified links (a, b), a < b, among the (node, band) rows.  ``sets_of``: from nodes to their region sets."""
     crowd = bands.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
     left = cut(bands.join(crowd, "band"))
     reach = left.groupBy("node").agg(F.sum("crowd").alias("reach"))
-    left = cut(left.join(reach, "node").select("band", "node", "reach", "crowd"))
+    left = buckets = cut(left.join(reach, "node").select("band", "node", "reach", "crowd"))
     sets = cut(sets_of(left.select("node").distinct()))
     found = None
     while True:
@@ -235,8 +254,10 @@ def links(bands: DataFrame, sets_of, similarity: float = SIMILARITY, small: int
         many = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
         left = cut(rest.join(many, "band").select("band", "node", "reach", "crowd"))
         if left.isEmpty():
-            return found.distinct()
+            break
         pivots *= growth
+    found = cut(found.distinct())
+    return found.union(across(buckets, sets, found, similarity))
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

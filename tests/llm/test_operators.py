@@ -88,6 +88,31 @@ def test_near_dedup(spark, docs):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_loses_no_link(spark):
+    """A crowd of copies around one text, many under the similarity to its middle: the classes are those of brute force."""
+    rng = random.Random(8)
+    base, rows = [f"u{i}" for i in range(150)], []
+    for d in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(150)] = f"e{rng.randint(0, 3)}"
+        rows.append((d, " ".join(w)))
+    from collections import Counter
+
+    def shingles(t):
+        w = t.split()
+        return Counter(zip(*[w[j:] for j in range(5)]))
+
+    sets, group = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
+    for a in sets:
+        for b in range(a):
+            if (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total() and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == group and len(set(group.values())) > 5
+
+
 def test_html():
     page = '<html><nav><a>m</a></nav><header>h</header><article><h1>T &amp; U</h1><p>one<br>two <b>x</b>y<p>three<div class="comments">c</div><script>"<p>z"</script></article><footer>f</footer>'
     lines = html_text.blocks(page)
