@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.entities import CONCEPTS
+from ..functions.entities import CASE, CONCEPTS
+from ..functions.text import DEFAULT_TITLE, TITLE_PATTERNS, TRAILING
+from ..operators.generation import ANSWER_WORDS, PROMPT, REFUSAL
 from ..operators.spans import GENERIC
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -59,11 +61,56 @@ _TOP = """sims AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_inner_produ
 top AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, id) - 1 AS rank, round(c, 4) AS similarity_score FROM sims) WHERE rank < 5)"""
 
 
+_STATUTES = f"WITH {LINES}, t AS (SELECT doc_id, string_agg(chr(10) || j || '. Title of ' || j || '.' || chr(10) || body, '' ORDER BY j) AS text FROM parts GROUP BY doc_id)"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def refs(pattern: str, prefix: str) -> str:
-    return f"WITH {LINES}, t AS (SELECT doc_id, string_agg(chr(10) || j || '. Title of ' || j || '.' || chr(10) || body, '' ORDER BY j) AS text FROM parts GROUP BY doc_id) SELECT DISTINCT doc_id, '{prefix}' || unnest(regexp_extract_all(text, '{pattern}', 1)) AS entity FROM t"
+    return f"{_STATUTES} SELECT DISTINCT doc_id, '{prefix}' || unnest(regexp_extract_all(text, '{pattern}', 1)) AS entity FROM t"
+
+
+def _case_refs() -> str:
+    sides = ", ".join(f"unnest(regexp_extract_all(text, {_quoted(CASE)}, {k})) AS {c}" for k, c in ((1, "a"), (2, "b")))
+    return f"{_STATUTES} SELECT DISTINCT doc_id, {strip('a')} || '_v_' || {strip('b')} AS entity FROM (SELECT doc_id, {sides} FROM t) WHERE length(a) > 3 AND length(b) > 3"
+
+
+def _concepts() -> str:
+    each = " UNION ALL ".join(f"SELECT doc_id, '{k.replace(' ', '_')}' AS entity FROM t WHERE regexp_matches(text, '(?i)\\b{k}\\b')" for k in CONCEPTS)
+    return f"{_STATUTES} {each}"
+
+
+def _clean_title() -> str:
+    c = strip("substr(text, 1, 200) || ' ,-.'")
+    for mark in TRAILING:
+        c = strip(f"regexp_replace({c}, '[{mark}]$', '')")
+    return f"""WITH t AS (SELECT doc_id, regexp_replace({c}, '\\s+', ' ', 'g') AS c FROM documents),
+u AS (SELECT doc_id, CASE WHEN length(c) > 120 THEN regexp_replace(substr(c, 1, 120), '(?s)^(.*) [^ ]*$', '\\1') ELSE c END AS c FROM t)
+SELECT doc_id, CASE WHEN length(c) > 3 THEN c ELSE 'Unknown' END AS title FROM u"""
+
+
+def _document_title() -> str:
+    found = [f"regexp_replace({strip(f'regexp_extract(substr(text, 1, 1000), {_quoted(p)}, 0)')}, '\\s+', ' ', 'g')" for p in TITLE_PATTERNS]
+    tried = ", ".join(f"CASE WHEN length({t}) > 5 THEN {t} END" for t in found)
+    return f"SELECT doc_id, coalesce({tried}, {_quoted(DEFAULT_TITLE)}) AS title FROM {_NOISY}"
+
+
+def _prompts() -> str:
+    parts = PROMPT.split("%s")
+    text = f"{_quoted(parts[0])} || context || {_quoted(parts[1])} || query || {_quoted(parts[2])}"
+    first = f"array_to_string(regexp_split_to_array({strip('context')}, '\\s+')[1:{ANSWER_WORDS}], ' ')"
+    return f"""WITH q AS (SELECT item_id AS query_id, 'What is ' || substr(text, 1, 20) || '?' AS query, text AS context FROM benchmark)
+SELECT query_id, length({text}) AS prompt_chars, CASE WHEN {first} = '' THEN {_quoted(REFUSAL)} ELSE {first} END AS answer FROM q"""
 
 
 ORACLES: dict[str, str] = {
+    "case_refs": _case_refs(),
+    "concepts": _concepts(),
+    "clean_title": _clean_title(),
+    "document_title": _document_title(),
+    "prompts": _prompts(),
     "vector_topk": f"WITH {_TOP} SELECT * FROM top",
     "embedding_normalize": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS l FROM v) SELECT vec_id, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END AS norm, round(v[1] / l, 5) AS first, len(v) AS dim FROM n",
     "centroid_mean_pool": "SELECT label, i - 1 AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2",
