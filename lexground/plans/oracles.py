@@ -97,6 +97,28 @@ def _document_title() -> str:
     return f"SELECT doc_id, coalesce({tried}, {_quoted(DEFAULT_TITLE)}) AS title FROM {_NOISY}"
 
 
+def _graph(tail: str) -> str:
+    """Over mentions (doc_id, j, article, content, kind, entity), rels, nodes and edges of the statute view's chunks."""
+    plain = (("article", "(?i)(?:Article|Art\\.?)\\s+(\\d+[A-Z]?)", "Article_"), ("section", "(?i)(?:Section|Sec\\.?)\\s+(\\d+[A-Z]?)", "Section_"), ("part", "(?i)Part\\s+([IVX]+[A-Z]?)", "Part_"))
+    found = [f"SELECT doc_id, j, article, content, '{kind}' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(content, '{pattern}', 1), lambda x: '{prefix}' || x))) AS entity FROM kept" for kind, pattern, prefix in plain]
+    sides = ", ".join(f"unnest(regexp_extract_all(content, {_quoted(CASE)}, {k})) AS {c}" for k, c in ((1, "a"), (2, "b")))
+    found.append(f"SELECT DISTINCT doc_id, j, article, content, 'case' AS kind, {strip('a')} || '_v_' || {strip('b')} AS entity FROM (SELECT *, {sides} FROM kept) WHERE length(a) > 3 AND length(b) > 3")
+    found += [f"SELECT doc_id, j, article, content, 'concept' AS kind, '{k.replace(' ', '_')}' AS entity FROM kept WHERE regexp_matches(content, '(?i)\\b{k}\\b')" for k in CONCEPTS]
+    at = "instr(content, replace({}, '_', ' '))"
+    x, y = at.format("a.entity").replace("content", "a.content"), at.format("b.entity").replace("content", "a.content")
+    return f"""WITH {LINES}, mentions AS ({' UNION ALL '.join(found)}),
+rels AS (SELECT doc_id, 'Article_' || article AS src, CASE kind WHEN 'concept' THEN 'discusses' WHEN 'case' THEN 'interpreted_by' ELSE 'refers_to' END AS relationship_type, entity AS dst
+  FROM mentions WHERE kind IN ('concept', 'case', 'section')
+  UNION ALL SELECT a.doc_id, a.entity, 'related_to', b.entity FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.j = b.j AND a.kind = 'article' AND b.kind = 'article' AND b.entity > a.entity
+  WHERE {x} > 0 AND {y} > 0 AND abs({x} - {y}) < 500),
+nodes AS (SELECT DISTINCT entity, CASE WHEN starts_with(entity, 'Article_') THEN 'article' WHEN starts_with(entity, 'Section_') THEN 'section' WHEN starts_with(entity, 'Part_') THEN 'part'
+  WHEN starts_with(entity, 'Case_') OR contains(entity, '_v_') THEN 'case' ELSE 'concept' END AS entity_type, replace(entity, '_', ' ') AS label FROM mentions),
+edges AS (SELECT src, dst, relationship_type, count(*) AS weight FROM rels WHERE src IN (SELECT entity FROM nodes) AND dst IN (SELECT entity FROM nodes) GROUP BY ALL),
+own AS (SELECT 'Article_' || article AS entity, doc_id, j FROM kept),
+held AS (SELECT * FROM own UNION ALL (SELECT entity, doc_id, j FROM mentions WHERE kind IN ('article', 'section', 'concept') AND (entity, doc_id, j) NOT IN (SELECT (entity, doc_id, j) FROM own)))
+{tail}"""
+
+
 def _prompts() -> str:
     parts = PROMPT.split("%s")
     text = f"{_quoted(parts[0])} || context || {_quoted(parts[1])} || query || {_quoted(parts[2])}"
@@ -106,6 +128,10 @@ SELECT query_id, length({text}) AS prompt_chars, CASE WHEN {first} = '' THEN {_q
 
 
 ORACLES: dict[str, str] = {
+    "relations": _graph("SELECT doc_id, src, relationship_type, dst, count(*) AS n FROM rels GROUP BY ALL"),
+    "graph_nodes": _graph("SELECT * FROM nodes"),
+    "graph_edges": _graph("SELECT * FROM edges"),
+    "entity_chunks": _graph("SELECT entity, count(*) AS links, count(DISTINCT doc_id) AS docs FROM held WHERE entity IN (SELECT entity FROM nodes) GROUP BY entity"),
     "case_refs": _case_refs(),
     "concepts": _concepts(),
     "clean_title": _clean_title(),
