@@ -131,6 +131,10 @@ ORACLES: dict[str, str] = {
     "relations": _graph("SELECT doc_id, src, relationship_type, dst, count(*) AS n FROM rels GROUP BY ALL"),
     "graph_nodes": _graph("SELECT * FROM nodes"),
     "graph_edges": _graph("SELECT * FROM edges"),
+    "graph_stats": _graph(""", n AS (SELECT count(*) AS nodes, count(*) FILTER (WHERE entity_type = 'article') AS article_nodes, count(*) FILTER (WHERE entity_type = 'section') AS section_nodes,
+  count(*) FILTER (WHERE entity_type = 'part') AS part_nodes, count(*) FILTER (WHERE entity_type = 'case') AS case_nodes, count(*) FILTER (WHERE entity_type = 'concept') AS concept_nodes FROM nodes),
+e AS (SELECT count(*) AS edges, CAST(coalesce(sum(weight), 0) AS BIGINT) AS total_weight, coalesce(string_agg(DISTINCT relationship_type, ',' ORDER BY relationship_type), '') AS relationship_types FROM edges)
+SELECT *, CASE WHEN nodes > 0 THEN round(2 * edges / nodes, 4) ELSE 0.0 END AS avg_degree FROM n, e"""),
     "entity_chunks": _graph("SELECT entity, count(*) AS links, count(DISTINCT doc_id) AS docs FROM held WHERE entity IN (SELECT entity FROM nodes) GROUP BY entity"),
     "case_refs": _case_refs(),
     "concepts": _concepts(),
