@@ -30,7 +30,7 @@ def article_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 def smart_subdivide(chunks: DataFrame) -> DataFrame:
     """Adds sub, section, hierarchy_level: long chunks with several numbered parts of 50 tokens become those parts."""
     marked = F.split(F.regexp_replace("content", r"(\n\s*\(\d+\)\s*)", _CUT + "$1"), _CUT)
-    parts = F.filter(F.transform(F.slice(marked, 2, 2**31 - 1), strip), lambda p: token_count(p) >= MIN_TOKENS)
+    parts = F.filter(F.transform(F.slice(marked, F.lit(2), F.size(marked)), strip), lambda p: token_count(p) >= MIN_TOKENS)
     divide = (F.col("token_count") >= SUBDIVIDE_FROM) & (F.size("parts") > 1)
     marked_only = F.when(F.col("token_count") >= SUBDIVIDE_FROM, parts).otherwise(F.array().cast("array<string>"))
     rows = chunks.select("*", F.explode(F.array(marked_only)).alias("parts")).withColumn("divide", divide)

@@ -131,6 +131,11 @@ ORACLES: dict[str, str] = {
     "relations": _graph("SELECT doc_id, src, relationship_type, dst, count(*) AS n FROM rels GROUP BY ALL"),
     "graph_nodes": _graph("SELECT * FROM nodes"),
     "graph_edges": _graph("SELECT * FROM edges"),
+    "smart_subdivide": f"""WITH {LINES}, cut AS (SELECT doc_id, article, content, token_count,
+  list_filter(list_transform(string_split(regexp_replace(content, '(\\n\\s*\\(\\d+\\)\\s*)', chr(1) || '\\1', 'g'), chr(1))[2:], lambda x: {strip('x')}), lambda x: {tokens('x')} >= 50) AS parts FROM kept),
+told AS (SELECT *, token_count >= 512 AND len(parts) > 1 AS divide FROM cut),
+rows AS (SELECT doc_id, article, divide, unnest(CASE WHEN divide THEN parts ELSE [content] END) AS content FROM told)
+SELECT doc_id, article, content, CASE WHEN divide THEN regexp_extract(content, '^\\((\\d+)\\)', 1) END AS section, CASE WHEN divide THEN 'subsection' ELSE 'unknown' END AS hierarchy_level, {tokens('content')} AS token_count FROM rows""",
     "graph_stats": _graph(""", n AS (SELECT count(*) AS nodes, count(*) FILTER (WHERE entity_type = 'article') AS article_nodes, count(*) FILTER (WHERE entity_type = 'section') AS section_nodes,
   count(*) FILTER (WHERE entity_type = 'part') AS part_nodes, count(*) FILTER (WHERE entity_type = 'case') AS case_nodes, count(*) FILTER (WHERE entity_type = 'concept') AS concept_nodes FROM nodes),
 e AS (SELECT count(*) AS edges, CAST(coalesce(sum(weight), 0) AS BIGINT) AS total_weight, coalesce(string_agg(DISTINCT relationship_type, ',' ORDER BY relationship_type), '') AS relationship_types FROM edges)
