@@ -9,12 +9,14 @@ linked if their weighted Jaccard similarity is 0.8 or more.
   coordinate; where a coordinate stays empty the rank is doubled.  The chance that two documents agree in a coordinate is
   their weighted Jaccard similarity.
 * Bands of ``ROWS`` coordinates make buckets.  Documents with the same words are one node from the start, so copies never
-  meet in a bucket.  In a bucket each document is a candidate with the bucket's pivots: the members that collide most over
-  all bands, hence near the middle of their group, so a group of m near copies gives about m candidates, not m squared.
-  Members that match no pivot go through further rounds with more pivots each, until no bucket holds two of them, and small
-  buckets are compared in full.  What this has not joined is then compared across: wherever a bucket still holds several
-  classes, every pair of its members from different classes is verified, so each pair that shares a bucket is either
-  verified or in one class already, and no cap drops a candidate.
+  meet in a bucket.  Each document is compared with its buckets' pivots only: the members that collide most over all bands,
+  hence near the middle of their group, so a group of m near copies gives about m candidates, not m squared.
+* What the pivots leave in different classes meets by what sets it apart from the pivot.  Two documents x and m of a pivot's
+  group, with differences X and M from it, differ in |X| + |M| - 2 |X and M| regions, which the similarity bounds; where x is
+  not linked to the pivot, they must thus share regions of X and M, a number known from the sizes.  Regions of only one
+  difference can't be shared and the others go by rareness, so a prefix of each difference and the place of the first shared
+  region exclude nearly all pairs (prefix and positional filtering).  This is exact: every pair that shares a bucket is in
+  one class already, excluded by a bound, or verified, and no cap drops a candidate.
 * Each candidate pair is verified on its whole shingle multisets.
 * Classes are the connected components of the links; a class is named by its least doc_id.
 
@@ -30,7 +32,7 @@ import math
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -41,9 +43,6 @@ ROWS, BANDS = 6, 20
 COORDINATES = ROWS * BANDS
 #: Darts expected of a document in the first throw; about one document in eight then needs a second.
 DARTS = int(COORDINATES * (math.log(COORDINATES) + 2))
-#: Buckets up to this size are compared in full; the pivots of larger ones in the first round, and by how much they grow in
-#: each further round.
-SMALL, PIVOTS, GROWTH = 8, 1, 8
 _MEMO_WORDS = 400_000
 _word = re.compile(r"\w+")
 
@@ -173,6 +172,12 @@ def region_sets(documents: DataFrame) -> DataFrame:
     return documents.select("node", "text").mapInArrow(shingle, "node long, regions binary")
 
 
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, a_regions, b_regions of the pairs (a, b)."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("regions").alias(f"{side}_regions"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_regions", "b_regions")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least that weighted Jaccard similarity."""
     import pyarrow as pa
@@ -184,18 +189,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                # sizes alone bound the similarity
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 common = int((y[at] == x).sum())
                 keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("regions").alias(f"{side}_regions"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_regions", "b_regions").mapInArrow(compare, "a long, b long")
+    return _paired(pairs, sets).mapInArrow(compare, "a long, b long")
+
+
+def against_pivots(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """node, pivot, middle (a digest of the pivot's regions, as a doc_id may have several texts), linked, size (regions of the
+    node), apart (regions of one of the two only), for the pairs (node, pivot)."""
+    import pyarrow as pa
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for batch in batches:
+            rows, apart = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                apart.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+                common = (len(x) + len(y) - len(apart[-1])) // 2
+                linked = common >= similarity * (len(x) + len(y) - common) - 1e-9
+                rows.append((xxhash.xxh64_intdigest(y.tobytes()) - 2**63, linked, len(x)))
+            middle, linked, size = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = [pa.array(middle, pa.int64()), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(apart, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["node", "pivot", "middle", "linked", "size", "apart"])
+
+    found = _paired(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
+    return found.mapInArrow(compare, "node long, pivot long, middle long, linked boolean, size long, apart array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,50 +239,64 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("class_id"))
 
 
-def across(buckets: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Verified links between members of one bucket (node, band) that ``found`` (a, b) leaves in different classes.  The
-    bucket's largest class is met only by the members outside it, and sizes too different for the similarity never meet."""
-    size = sets.select("node", (F.octet_length("regions") / 8).alias("size"))
-    named = size.join(components(found), "node", "left").select("node", "size", F.coalesce("class_id", "node").alias("class_id"))
-    rows = buckets.select("band", "node").join(named, "node")
-    shares = rows.groupBy("band", "class_id").agg(F.count(F.lit(1)).alias("n"))
-    largest = shares.groupBy("band").agg(F.max(F.struct("n", "class_id"))["class_id"].alias("largest"), F.count(F.lit(1)).alias("k"))
-    rows = cut(rows.join(largest.filter("k > 1").select("band", "largest"), "band"))
-    few = rows.filter("class_id <> largest").select("band", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("class_id").alias("x_class"))
-    fits = F.least("size", "x_size") >= similarity * F.greatest("size", "x_size")
-    once = (F.col("class_id") == F.col("largest")) | (F.col("x") < F.col("node"))
-    met = rows.join(few, (rows["band"] == few["band"]) & (F.col("class_id") != F.col("x_class")) & once & fits)
-    pairs = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    return cut(_verified(pairs, sets, similarity))
-
-
-def links(bands: DataFrame, sets_of, similarity: float = SIMILARITY, small: int = SMALL, pivots: int = PIVOTS, growth: int = GROWTH) -> DataFrame:
-    """Verified links (a, b), a < b, among the (node, band) rows.  ``sets_of``: from nodes to their region sets."""
+def across(compared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a pivot's group that ``labels`` (node, class_id) leave in different classes and that may be similar
+    enough; of such a pair one at least is outside the pivot's class."""
+    share = (1 - similarity) / (1 + similarity)  # two documents may differ in that share of their sizes' sum
+    rows = compared.join(labels, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
+    pivot = labels.select(F.col("node").alias("pivot"), F.col("class_id").alias("pivot_class"))
+    rows = rows.join(pivot, "pivot", "left").withColumn("outside", F.col("class_id") != F.coalesce("pivot_class", "pivot"))
+    rows = rows.withColumn("excess", F.size("apart") - share * F.col("size"))
+    # the least that a partner brings: a pair of x and m must share half its excesses' sum
+    rows = rows.drop("pivot", "pivot_class", "linked").withColumn("text", F.xxhash64("apart"))
+    least = rows.groupBy("middle").agg(F.min("excess").alias("any_least"), F.min(F.when(F.col("outside"), F.col("excess"))).alias("outside_least"))
+    rows = rows.join(least.filter("outside_least is not null"), "middle")
+    parts = cut(rows.withColumn("region", F.explode("apart")).drop("apart"))
+    common = parts.groupBy("middle", "region").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    ordered = (
+        parts.join(common, ["middle", "region"])
+        .groupBy("middle", "node", "text").agg(
+            F.sort_array(F.collect_list(F.struct("members", "region"))).alias("by_rareness"),
+            *(F.first(c).alias(c) for c in ("class_id", "size", "outside", "excess", "any_least", "outside_least")),
+        )
+    )
+    owed = lambda a, b: F.greatest(F.lit(1), F.ceil((a + b) / 2 - 1e-6))
+
+    def prefix(rows: DataFrame, partner: str) -> DataFrame:
+        n = F.size("by_rareness") - owed(F.col("excess"), F.col(partner)) + 1
+        rows = rows.withColumn("length", F.size("by_rareness")).withColumn("n", n.cast("int")).filter("n > 0")
+        return rows.select("middle", "node", "class_id", "size", "excess", "length", F.posexplode(F.slice("by_rareness", F.lit(1), F.col("n"))).alias("place", "part")).withColumn(
+            "region", F.col("part.region")
+        )
+
+    ordered = cut(ordered)
+    m, x = prefix(ordered, "outside_least").alias("m"), prefix(ordered.filter("outside"), "any_least").alias("x")
+    fits = F.least("m.size", "x.size") >= similarity * F.greatest("m.size", "x.size") - 1e-9
+    # no more regions can be shared than follow the first shared one in either
+    enough = F.least(F.col("m.length") - F.col("m.place"), F.col("x.length") - F.col("x.place")) >= owed(F.col("m.excess"), F.col("x.excess"))
+    same = (F.col("m.middle") == F.col("x.middle")) & (F.col("m.region") == F.col("x.region"))
+    met = m.join(x, same & (F.col("m.class_id") != F.col("x.class_id")) & fits & enough)
+    return met.select(F.least("m.node", "x.node").alias("a"), F.greatest("m.node", "x.node").alias("b")).distinct()
+
+
+def linked_classes(bands: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
+    """node, class_id of the nodes that have links, by the (node, band) rows.  ``sets_of``: from nodes to their region sets."""
     crowd = bands.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
-    left = cut(bands.join(crowd, "band"))
-    reach = left.groupBy("node").agg(F.sum("crowd").alias("reach"))
-    left = buckets = cut(left.join(reach, "node").select("band", "node", "reach", "crowd"))
-    sets = cut(sets_of(left.select("node").distinct()))
-    found = None
-    while True:
-        order = Window.partitionBy("band").orderBy(F.desc("reach"), "node")
-        chosen = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(pivots, small))
-        chosen = chosen.filter((F.col("place") <= pivots) | (F.col("crowd") <= small)).select("band", F.col("node").alias("pivot"))
-        met = left.join(chosen, "band").filter("node <> pivot")
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        now = cut(_verified(pairs, sets, similarity))
-        found = now if found is None else found.union(now)
-        # what is neither a pivot nor linked to one of its bucket's pivots stays, where another such member stays too
-        hits = met.join(now, (F.least("node", "pivot") == now["a"]) & (F.greatest("node", "pivot") == now["b"])).select("band", "node")
-        out = hits.union(chosen.select("band", F.col("pivot").alias("node"))).distinct()
-        rest = left.join(out, ["band", "node"], "left_anti")
-        many = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-        left = cut(rest.join(many, "band").select("band", "node", "reach", "crowd"))
-        if left.isEmpty():
-            break
-        pivots *= growth
-    found = cut(found.distinct())
-    return found.union(across(buckets, sets, found, similarity))
+    rows = cut(bands.join(crowd, "band"))
+    reach = rows.groupBy("node").agg(F.sum("crowd").alias("reach"))
+    rows = rows.join(reach, "node")
+    middle = rows.groupBy("band").agg(F.max(F.struct("reach", (-F.col("node")).alias("least")))["least"].alias("least"))
+    pairs = cut(rows.join(middle, "band").select("node", (-F.col("least")).alias("pivot")).distinct())
+    sets = cut(sets_of(pairs.select("node").distinct()))
+    compared = cut(against_pivots(pairs.filter("node <> pivot"), sets, similarity))
+    labels = cut(components(compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
+    more = cut(_verified(across(compared, labels, similarity), sets, similarity))
+    # the further links join whole classes
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("class_id").alias(f"{side}_class"))
+    more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    joined = cut(components(more.distinct())).select(F.col("node").alias("class_id"), F.col("class_id").alias("joined"))
+    known = labels.union(more.select("a", "a").union(more.select("b", "b"))).groupBy("node").agg(F.min("class_id").alias("class_id"))
+    return known.join(joined, "class_id", "left").select("node", F.coalesce("joined", "class_id").alias("class_id"))
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -272,8 +311,7 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         texts = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
         return region_sets(texts)
 
-    linked = links(bands, sets_of, similarity)
-    found = components(linked.select("a", "b"))
+    found = linked_classes(bands, sets_of, similarity)
     named = signed.join(found, "node", "left").select("doc_id", "node", F.coalesce("class_id", "node").alias("class_id"))
     return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
