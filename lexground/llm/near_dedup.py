@@ -303,8 +303,11 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least doc_id of the class): one row per input row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(signatures(docs))
-    firsts = signed.groupBy("words_md5").agg(F.min("doc_id").alias("node"))
-    signed = cut(signed.join(firsts, "words_md5").select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")))
+    # only the digests of copies are joined back, written out before, so that a large group of copies can be split over tasks
+    firsts = signed.groupBy("words_md5").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    firsts = cut(firsts.filter("n > 1").select("words_md5", "node"))
+    signed = signed.join(firsts, "words_md5", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    signed = cut(signed.select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")))
     bands = signed.filter("bands is not null").select("node", F.explode("bands").alias("band")).distinct()
 
     def sets_of(nodes: DataFrame) -> DataFrame:
