@@ -43,7 +43,7 @@ ROWS, BANDS = 6, 20
 COORDINATES = ROWS * BANDS
 #: Darts expected of a document in the first throw; about one document in eight then needs a second.
 DARTS = int(COORDINATES * (math.log(COORDINATES) + 2))
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 120_000
 _word = re.compile(r"\w+")
 
 

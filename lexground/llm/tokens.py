@@ -14,7 +14,7 @@ import struct
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 #: A memo takes up to this many chunks, the first met being the frequent ones; longer chunks are encoded each time.
-MEMO_CHUNKS, MEMO_CHARS = 500_000, 60
+MEMO_CHUNKS, MEMO_CHARS = 120_000, 40
 _made: dict = {}
 
 

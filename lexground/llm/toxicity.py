@@ -29,7 +29,7 @@ from .common import cut
 ORDER, WINDOW = 6, 2
 MAX_LABELLED, MAX_GRAMS, MAX_WORDS, MAX_CALIBRATED = 60_000, 300_000, 100_000, 20_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
-MEMO_WORDS = 500_000
+MEMO_WORDS = 120_000
 _word = re.compile(r"\w+")
 #: What stands before and after a word's characters, and before a whole word among the counts.
 PAD, STOP, WHOLE = "\x02", "\x03", "\x04"
