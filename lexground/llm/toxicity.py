@@ -8,8 +8,10 @@ log-likelihoods.  Scores are length-normalised over windows of ``WINDOW`` words
 words of a long text; the largest window, the text's mean and its length give a probability by logistic regression.
 
 Labels are read only for documents whose crc32(doc_id as text) mod 5 is not 0: remainders 1 to 3 give the counts, 4 the
-logistic regression.  Bounds of the fit, all documented parameters: ``MAX_LABELLED`` rows of a class (by a hash), the
-``MAX_GRAMS`` most frequent character sequences and the ``MAX_WORDS`` most frequent words.  Neither binds how texts are scored: every text is scored whole.
+logistic regression.  The fit is bounded by labelled rows only, ``MAX_LABELLED`` of a class (by a hash, a documented
+parameter); of these rows every word and every character sequence counts, the rare ones too.  Words are scored where they
+lie, and only their 64-bit digests and scores are broadcast.  The bound does not bind how texts are scored: every text is
+scored whole.
 
 Defined cases: null text is empty and gets the score of a text without words; a doc_id labelled more than once counts as
 toxic if any label says so; null labels do not count; without labels of both classes every score is 0; null doc_id is not
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ORDER, WINDOW = 6, 2
-MAX_LABELLED, MAX_GRAMS, MAX_WORDS, MAX_CALIBRATED = 60_000, 300_000, 100_000, 20_000
+MAX_LABELLED, MAX_CALIBRATED = 60_000, 20_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 MEMO_WORDS = 120_000
 _word = re.compile(r"\w+")
@@ -72,62 +74,49 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     return partial.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-class KneserNey:
-    """Differences of log-likelihoods, from the counts of both classes."""
+def word_key(word: str) -> int:
+    """A 64-bit digest."""
+    from hashlib import blake2b
+
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
 
-    def __init__(self, grams: list[str], toxic, ordinary, words: dict[str, tuple[int, int]], order: int = ORDER):
-        """``words``: toxic and ordinary occurrences of whole words."""
+class Spelling:
+    """Log-probabilities of words by their characters in either class, from the counts of both."""
+
+    def __init__(self, grams: list[str], toxic, ordinary, order: int = ORDER):
         import numpy as np
         import pandas as pd
 
         self.order = order
         counts = {1: np.asarray(toxic, float), 0: np.asarray(ordinary, float)}
-        contexts = pd.Series([g[:-1] for g in grams], dtype=object)
-        shared = self._shared(grams)
-        lower = np.array([shared[g[1:]] for g in grams])
-        log_p, log_backoff = {}, {}
+        at, contexts = pd.factorize(np.array([g[:-1] for g in grams], dtype=object))
+        self.shared = self._shared(grams)
+        lower = np.array([self.shared[g[1:]] for g in grams])
+        self.log_p, self.log_backoff = {}, {}
         for k, c in counts.items():
             n1, n2 = (c == 1).sum(), (c == 2).sum()
             discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            per = pd.DataFrame({"h": contexts, "c": c, "seen": (c > 0).astype(float)}).groupby("h")[["c", "seen"]].sum()
-            total, kinds = per["c"].reindex(contexts).to_numpy(), per["seen"].reindex(contexts).to_numpy()
+            total, kinds = np.bincount(at, c), np.bincount(at, c > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 backoff = np.where(total > 0, discount * kinds / total, 1.0)
-                seen = np.where(total > 0, np.maximum(c - discount, 0) / total, 0.0)
-            log_p[k] = np.log(seen + backoff * lower)
-            log_backoff[k] = np.log(backoff)
-        places = {g: i for i, g in enumerate(grams)}
-        of_context = {h: i for i, h in enumerate(contexts)}  # any place of a context has its backoff
-        self.known: dict[str, float] = {}
-        self._whole_words(words, places, of_context, log_p, log_backoff, shared)
-        del shared
-        self.gram = dict(zip(grams, (log_p[1] - log_p[0]).round(5).tolist(), strict=True))
-        backoff = (log_backoff[1] - log_backoff[0]).round(5)
-        self.context = {h: float(backoff[i]) for h, i in of_context.items() if backoff[i]}
-        self.memo: dict[str, float] = {}
-
-    def _whole_words(self, words: dict, places: dict, of_context: dict, spelt_log_p: dict, spelt_backoff: dict, shared: dict) -> None:
-        """The first level: discounted occurrences of words, and the mass left to spellings."""
-        from math import exp, log
-
-        log_p, left, total, discount = {}, {}, {}, {}
-        for k, at in ((1, 0), (0, 1)):
-            seen = [n[at] for n in words.values() if n[at]]
-            n1, n2, total[k] = seen.count(1), seen.count(2), max(1, sum(seen))
-            discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            left[k] = max(discount[k] * len(seen) / total[k], 1e-6)
-        for w, n in words.items():
-            for k, at in ((1, 0), (0, 1)):
-                by_letters = 0.0
-                for g in spelt(w, self.order):
-                    if (i := places.get(g)) is not None:
-                        by_letters += spelt_log_p[k][i]
-                    else:
-                        i = of_context.get(g[:-1])
-                        by_letters += (0.0 if i is None else spelt_backoff[k][i]) + log(shared.get(g[1:], 1e-4))
-                log_p[k] = log(max(n[at] - discount[k], 0) / total[k] + left[k] * exp(by_letters) + 1e-300)
-            self.known[w] = round(log_p[1] - log_p[0], 5)
-        self.unknown = log(left[1]) - log(left[0])
+                seen = np.where(total[at] > 0, np.maximum(c - discount, 0) / total[at], 0.0)
+            self.log_p[k] = np.log(seen + backoff[at] * lower)
+            self.log_backoff[k] = np.log(backoff)
+        self.places = {g: i for i, g in enumerate(grams)}
+        self.of_context = {h: i for i, h in enumerate(contexts)}
+
+    def log_likelihood(self, word: str, k: int) -> float:
+        from math import log
+
+        found = 0.0
+        for g in spelt(word, self.order):
+            if (i := self.places.get(g)) is not None:
+                found += self.log_p[k][i]
+            else:
+                i = self.of_context.get(g[:-1])
+                found += (0.0 if i is None else self.log_backoff[k][i]) + log(self.shared.get(g[1:], 1e-4))
+        return found
 
     def _shared(self, grams: list[str]) -> dict[str, float]:
         """Interpolated probabilities of the last character of each lower-order sequence, from pooled continuation counts."""
@@ -151,15 +140,81 @@ class KneserNey:
             lower = dict(zip(names, (np.maximum(c - discount, 0) + discount * seen * below) / total, strict=True))
         return lower
 
-    def word(self, word: str) -> float:
-        if word in self.known:
-            return self.known[word]
-        gram, context = self.gram, self.context
-        found = self.unknown + sum(gram[g] if g in gram else context.get(g[:-1], 0.0) for g in spelt(word, self.order))
-        if len(self.memo) < MEMO_WORDS and len(word) < 60:
-            self.memo[word] = found
+
+class Masses:
+    """The first level: the discount of words, the mass left to spellings and the occurrences, of either class."""
+
+    def __init__(self, words: DataFrame):
+        """``words``: gram, toxic, ordinary."""
+        figures = [f.alias(f"{c}_{n}") for c in ("toxic", "ordinary") for n, f in (
+            ("ones", F.count_if(F.col(c) == 1)), ("twos", F.count_if(F.col(c) == 2)), ("kinds", F.count_if(F.col(c) > 0)), ("total", F.coalesce(F.sum(c), F.lit(0))),
+        )]
+        row = words.agg(*figures).first()
+        self.discount, self.left, self.total = {}, {}, {}
+        for k, c in ((1, "toxic"), (0, "ordinary")):
+            n1, n2 = row[f"{c}_ones"], row[f"{c}_twos"]
+            self.total[k] = max(1, row[f"{c}_total"])
+            self.discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            self.left[k] = max(self.discount[k] * row[f"{c}_kinds"] / self.total[k], 1e-6)
+
+    def log_p(self, n: int, by_letters: float, k: int) -> float:
+        from math import exp, log
+
+        return log(max(n - self.discount[k], 0) / self.total[k] + self.left[k] * exp(by_letters) + 1e-300)
+
+
+def known_scores(words: DataFrame, spelling: Spelling, masses: Masses) -> DataFrame:
+    """key, score of each counted word: the difference of its log-likelihoods.  ``words``: gram, toxic, ordinary."""
+    import pyarrow as pa
+
+    shared = words.sparkSession.sparkContext.broadcast((spelling, masses))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling, masses = shared.value
+        for batch in batches:
+            names = [g[1:] for g in batch.column(0).to_pylist()]
+            seen = list(zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            scores = [masses.log_p(t, spelling.log_likelihood(w, 1), 1) - masses.log_p(o, spelling.log_likelihood(w, 0), 0) for w, t, o in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(map(word_key, names), pa.int64()), pa.array(scores, pa.float64())], ["key", "score"])
+
+    return words.select("gram", "toxic", "ordinary").mapInArrow(run, "key long, score double")
+
+
+class KneserNey:
+    """Differences of log-likelihoods of words."""
+
+    def __init__(self, grams: list[str], spelling: Spelling, masses: Masses, keys, scores):
+        """``keys`` and ``scores``: those of all counted words."""
+        import numpy as np
+
+        self.order = spelling.order
+        order = np.argsort(keys)
+        self.keys, self.scores = np.asarray(keys)[order], np.asarray(scores)[order].round(5)
+        self.unknown = float(np.log(masses.left[1]) - np.log(masses.left[0]))
+        self.gram = dict(zip(grams, (spelling.log_p[1] - spelling.log_p[0]).round(5).tolist(), strict=True))
+        backoff = (spelling.log_backoff[1] - spelling.log_backoff[0]).round(5)
+        self.context = {h: float(backoff[i]) for h, i in spelling.of_context.items() if backoff[i]}
+        self.memo: dict[str, float] = {}
+
+    def words(self, words: list[str]) -> dict[str, float]:
+        """The scores of distinct words."""
+        import numpy as np
+
+        keys = np.fromiter(map(word_key, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known, scores = (self.keys[at] == keys).tolist(), self.scores[at].tolist()
+        found = {w: s if k else self._by_letters(w) for w, k, s in zip(words, known, scores, strict=True)}
+        for w, s in found.items():
+            if len(self.memo) >= MEMO_WORDS:
+                break
+            if len(w) < 60:
+                self.memo[w] = s
         return found
 
+    def _by_letters(self, word: str) -> float:
+        gram, context = self.gram, self.context
+        return self.unknown + sum(gram[g] if g in gram else context.get(g[:-1], 0.0) for g in spelt(word, self.order))
+
     def features(self, text: str) -> tuple[float, float, float]:
         """The largest mean of a window of words, the mean over the text, the logarithm of the number of words."""
         import numpy as np
@@ -168,7 +223,9 @@ class KneserNey:
         if not words:
             return 0.0, 0.0, 0.0
         memo = self.memo
-        sums = np.cumsum([0.0] + [memo[w] if w in memo else self.word(w) for w in words])
+        new = list({w for w in words if w not in memo})
+        own = self.words(new) if new else {}
+        sums = np.cumsum([0.0] + [own[w] if w in own else memo[w] for w in words])
         width = min(WINDOW, len(words))
         return float((sums[width:] - sums[:-width]).max() / WINDOW), float(sums[-1] / len(words)), float(np.log(len(words)))
 
@@ -207,14 +264,18 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[KneserNey, list[floa
     known = known.filter("toxic in (0, 1)").withColumn("fold", fold()).filter(F.col("fold") != HELD_OUT)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learn = texts.join(F.broadcast(_bounded(known.filter(F.col("fold") != CALIBRATION), MAX_LABELLED)), "doc_id")
-    counts = gram_counts(learn).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    counts = gram_counts(learn)
     whole = F.col("gram").startswith(WHOLE)
     counts = cut(counts)
-    rows, words = (counts.filter(is_kind).orderBy(F.desc("n"), "gram").limit(most).toArrow().to_pandas().sort_values("gram") for is_kind, most in ((~whole, MAX_GRAMS), (whole, MAX_WORDS)))
+    rows = counts.filter(~whole).select("gram", "toxic", "ordinary").toArrow().to_pandas().sort_values("gram")
     if not len(rows) or not rows["toxic"].sum() or not rows["ordinary"].sum():
         return None
-    known_words = {w[1:]: (t, o) for w, t, o in zip(words["gram"], words["toxic"].tolist(), words["ordinary"].tolist(), strict=True)}
-    model = KneserNey(rows["gram"].tolist(), rows["toxic"], rows["ordinary"], known_words)
+    grams, words = rows["gram"].tolist(), counts.filter(whole)
+    spelling, masses = Spelling(grams, rows["toxic"], rows["ordinary"]), Masses(words)
+    del rows
+    known_words = known_scores(words, spelling, masses).toArrow()
+    model = KneserNey(grams, spelling, masses, known_words["key"].to_numpy(), known_words["score"].to_numpy())
+    del spelling, known_words
     held = texts.join(F.broadcast(_bounded(known.filter(F.col("fold") == CALIBRATION), MAX_CALIBRATED)), "doc_id")
     found = _features(held.select("doc_id", "toxic", "text"), model).toArrow().to_pandas()
     if found["toxic"].nunique() < 2:

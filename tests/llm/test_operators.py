@@ -169,6 +169,25 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
 
 
+def test_toxicity_counts_every_word(spark):
+    """Over 100,000 words and 300,000 character sequences, nearly all seen once: each counts, and has a score of its own."""
+    from collections import Counter
+    from zlib import crc32
+
+    rng = random.Random(6)
+    texts = {i: [f"{rng.getrandbits(44):011x}" for _ in range(700)] + [f"zz{i}"] for i in range(300)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in texts], "doc_id long, quality int, toxic int")
+    model, _ = toxicity.train(d, labels)
+    learnt = [i for i in texts if crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    words = Counter(w for i in learnt for w in texts[i])
+    assert len(words) > 100_000 and sorted(model.keys.tolist()) == sorted(map(toxicity.word_key, words))
+    assert set(model.gram) == {g for w in words for g in toxicity.spelt(w)} and len(model.gram) > 300_000
+    last = {k: max(f"zz{i}" for i in learnt if (i % 3 == 0) == k) for k in (True, False)}
+    found = model.words(list(last.values()))
+    assert found[last[True]] > 0 > found[last[False]]
+
+
 def test_licenses(spark, docs):
     got = {r["doc_id"]: r for r in licenses.scan_documents(docs).collect()}
     assert got[4]["license"] == "mit" and got[4]["n_licences"] == 1 and got[2]["n_paragraphs"] == 0 and got[6]["license"] == "none"
