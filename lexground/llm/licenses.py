@@ -1,10 +1,12 @@
 """License scans: a trained paragraph classifier (native).
 
-A paragraph is a line.  Its features are the distinct word uni-, bi- and trigrams that hold a cue word; a multinomial
-logistic regression, trained here on templates of licence notices, their variations and sentences that only sound alike,
+Paragraphs are lines, and runs of several lines between blank ones (or ones without letters and digits), so that a
+hard-wrapped notice is met whole; a run counts only for a family that none of its own lines is confirmed for.  Features
+are the distinct word uni-, bi- and trigrams that hold a cue word; a multinomial logistic regression, trained here on templates of licence notices, their variations and sentences that only sound alike,
 gives a probability to each licence family and to "unknown".  A temperature fitted on held-out variations calibrates the
 probabilities; a family needs ``SURE`` and more than unknown.  The prediction is confirmed if the paragraph holds enough of
-the trigrams of one of the family's templates.
+the trigrams of one of the family's templates.  A line that is the title of a licence and nothing else has too few words for
+that; it is known by the whole title.
 
 Paragraphs without a cue word have no features, so leaving them out changes nothing: their class is unknown.  Equal
 paragraphs are scored once.
@@ -47,6 +49,21 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
     "proprietary": ["All rights reserved.", "Copyright 2020. All rights reserved.", "This software is proprietary and confidential; unauthorised copying is prohibited.", "No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
+#: Titles that stand alone on a line, by family (fixed values).
+TITLES = {
+    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"],
+    "apache": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"],
+    "gpl": ["GNU General Public License", "GNU General Public License v2.0", "GNU General Public License v3.0", "GNU General Public License, version 2", "GNU General Public License, version 3"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "GNU Library General Public License"],
+    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3"],
+    "bsd": ["BSD License", "The BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The 2-Clause BSD License", "The 3-Clause BSD License", "Simplified BSD License", "New BSD License"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+    "cc-by": ["Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"],
+    "unlicense": ["The Unlicense"],
+}
 #: Sentences with cue words that name no licence.
 OTHERS = [
     "He showed his driving licence to the officer at the gate.", "The licence fee went up by ten per cent this year.", "She gave us permission to enter the building after dark.",
@@ -147,11 +164,27 @@ def gram_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, weights array<double>, templates array<int>")
 
 
+#: A line's place is its run's number times this and its number in the run, in the order of the text.
+RUN = 1 << 32
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, par (from 0), line, line_key: the lines that hold a cue word."""
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("par", "line"))
+    """doc_id, run, par, line, line_key, of_run: the lines and the runs of several lines that hold a cue word, ``par`` in the
+    order of the text; a run has the place of its first line."""
     cue = r"(?<![\p{L}\p{N}])(?:" + "|".join(CUES) + r")(?![\p{L}\p{N}])"
-    return lines.filter(F.lower("line").rlike(cue)).withColumn("line_key", F.md5(F.col("line").cast("binary")))
+    runs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.regexp_replace("text", r"(?dm)^[^\p{L}\p{N}\n]+$", ""), "\n\n")).alias("run", "whole"))
+    runs = runs.filter(F.lower("whole").rlike(cue))
+    whole = F.trim(F.col("whole"), F.lit("\n"))
+    parts = F.transform(F.split("whole", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.lit(False).alias("of_run")))
+    parts = F.concat(F.filter(parts, lambda x: F.lower(x["line"]).rlike(cue)), F.when(F.contains(whole, F.lit("\n")), F.array(F.struct(F.lit(0).alias("i"), whole.alias("line"), F.lit(True).alias("of_run")))).otherwise(F.filter(parts, lambda x: F.lit(False))))
+    rows = runs.select("doc_id", "run", F.explode(parts).alias("p"))
+    return rows.select("doc_id", "run", (F.col("run") * F.lit(RUN) + F.col("p.i")).alias("par"), "p.line", F.md5(F.col("p.line").cast("binary")).alias("line_key"), "p.of_run")
+
+
+def title_family(words):
+    """The family whose title the words are, all of them; null if none."""
+    named = [w for f, texts in TITLES.items() for t in texts for w in (F.lit(" ".join(words_of(t))), F.lit(f))]
+    return F.element_at(F.create_map(*named), F.array_join(words, " "))
 
 
 def score_lines(lines: DataFrame) -> DataFrame:
@@ -161,8 +194,9 @@ def score_lines(lines: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower("line"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     run = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice("words", i, n), " "))
     grams = F.array_distinct(F.concat(F.col("words"), *[F.when(F.size("words") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in (2, 3)]))
-    rows = lines.withColumn("words", words).select("line_key", F.explode(grams).alias("gram")).join(F.broadcast(gram_table(lines.sparkSession)), "gram")
+    rows = lines.withColumn("words", words).select("line_key", title_family(F.col("words")).alias("title"), F.explode(grams).alias("gram")).join(F.broadcast(gram_table(lines.sparkSession)), "gram")
     sums = rows.groupBy("line_key").agg(
+        F.first("title").alias("title"),
         *[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(names))],
         *[F.sum(F.array_contains("templates", i).cast("int")).alias(f"t{i}") for i in range(len(templates))],
     )
@@ -177,21 +211,31 @@ def score_lines(lines: DataFrame) -> DataFrame:
         held = F.when(F.col("best") == n, F.greatest(*parts) if len(parts) > 1 else parts[0]).otherwise(held)
     sure = (F.col("best") != UNKNOWN) & (F.col("probability") >= SURE)
     out = sums.withColumn("containment", F.round(held, 4)).withColumn("family", F.when(sure, F.col("best")).otherwise(F.lit(UNKNOWN)))
-    return out.select("line_key", "family", "probability", "containment", ((F.col("family") != UNKNOWN) & (F.col("containment") >= CONFIRMED)).alias("confirmed"))
+    titled = F.col("title").isNotNull()
+    return out.select(
+        "line_key", F.coalesce("title", "family").alias("family"), F.when(titled, 1.0).otherwise(F.col("probability")).alias("probability"), F.when(titled, 1.0).otherwise(F.col("containment")).alias("containment"),
+        (titled | (F.col("family") != UNKNOWN) & (F.col("containment") >= CONFIRMED)).alias("confirmed"),
+    )
 
 
 def scan_paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, par, line, family, probability, containment, confirmed of each line with a cue word."""
+    """doc_id, run, par, line, of_run, family, probability, containment, confirmed of each line, and run of lines, with a cue word."""
     found = candidates(documents)
     distinct = found.groupBy("line_key").agg(F.min("line").alias("line"))
-    return found.join(score_lines(distinct), "line_key").select("doc_id", "par", "line", "family", "probability", "containment", "confirmed")
+    return found.join(score_lines(distinct), "line_key").select("doc_id", "run", "par", "line", "of_run", "family", "probability", "containment", "confirmed")
 
 
 def scan_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_licences, families (comma-separated, confirmed ones), license (of the surest confirmed
+    """doc_id, n_paragraphs (lines), n_licences, families (comma-separated, confirmed ones), license (of the surest confirmed
     paragraph, else none)."""
-    found = scan_paragraphs(documents).filter("confirmed").groupBy("doc_id").agg(
-        F.countDistinct("par").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+    # one row a place: of a run the family, unless a line of its own has it
+    found = scan_paragraphs(documents).filter("confirmed").groupBy("doc_id", "run", "family").agg(
+        F.collect_set(F.when(~F.col("of_run"), F.struct("par", "probability"))).alias("lines"), F.collect_set(F.when(F.col("of_run"), F.struct("par", "probability"))).alias("whole"),
+    )
+    own = F.size("lines") > 0
+    found = found.select("doc_id", "family", (~own).alias("of_run"), F.explode(F.when(own, F.col("lines")).otherwise(F.col("whole"))).alias("p")).select("doc_id", "family", "of_run", "p.*")
+    found = found.groupBy("doc_id").agg(
+        F.countDistinct("par", "of_run").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.max(F.struct(F.col("probability"), (-F.col("par")).alias("early"), F.col("family"))).alias("top"),
     ).withColumnRenamed("doc_id", "found_id")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n"))

@@ -201,6 +201,20 @@ def test_licenses(spark, docs):
         assert r["family"] == (names[int(p.argmax())] if p.max() >= licenses.SURE else licenses.UNKNOWN)
 
 
+def test_wrapped_licenses(spark):
+    mit = licenses.TEMPLATES["mit"][-1] + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    bsd, apache = licenses.TEMPLATES["bsd"][-1], licenses.TEMPLATES["apache"][-1] + " http://www.apache.org/licenses/LICENSE-2.0"
+    import textwrap
+
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 60))
+    texts = [
+        wrap(mit), wrap(bsd), wrap(apache), f"plain words\nand more\n\n{wrap(mit)}\n \t\nthe end", wrap(apache, " * "), "MIT License", "BSD 3-Clause License\n\nplain words", "GNU Lesser General Public License",
+        f"MIT License\n\n{wrap(mit)}", "a line\nReleased under the MIT License.\nb line", "Permission is hereby granted to leave.", "He met the licence\ninspector at noon.", "\n" * 20_000 + "x",
+    ]
+    got = [(r["license"], r["n_licences"]) for r in licenses.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("mit", 1), ("bsd", 1), ("apache", 1), ("mit", 1), ("apache", 1), ("mit", 1), ("bsd", 1), ("lgpl", 1), ("mit", 2), ("mit", 1), ("none", 0), ("none", 0), ("none", 0)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     v = rng.standard_normal((3000, 64))
