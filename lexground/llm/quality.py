@@ -8,8 +8,9 @@ together lie more than ``REACH`` such distances below the medians (text that the
 few tokens), and those whose byte share lies more than ``REACH`` upper distances, and ``LEAST_BYTES``, above.
 
 Defined cases: null text has no words and fails the base rule; null language is a language of its own; a language's length
-class of fewer than ``FEW`` documents uses that length class over all languages, and is not judged by bands where that is
-small too; repeated rows are judged each; other columns pass through ``judge`` unread; no rows give no rows.
+class of fewer than ``FEW`` documents uses the narrowest group of its neighbouring length classes (of 2, 4, 8 and so on, up
+to the whole language) that has so many; a language of fewer than ``FEW`` documents has a fixed band, which rejects a token
+entropy under ``RARE_NATS`` only, as the other measures depend on the script; repeated rows are judged each; other columns pass through ``judge`` unread; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -27,6 +28,10 @@ from .tokens import MEMO_CHARS, MEMO_CHUNKS, PIECE_VOCABULARY, vocabulary
 MIN_WORDS, MAX_REPEATED, SPAN = 10, 0.20, 5
 SYMBOLS = "#*$%&|<>"
 FEW = 50
+#: Numbers of length classes that share a band; the last is more than there are.
+WIDTHS = (1, 2, 4, 8, 16, 32, 64, 128)
+#: The least token entropy, in nats, of a text in a language without bands (some 4.5 tokens equally often).
+RARE_NATS = 1.5
 #: The summed distance below the medians, and beyond the byte share's median, that rejects; the least byte share that does.
 REACH, LEAST_BYTES = 6.0, 0.05
 #: The least distance of quartile and median that counts, so that groups of copies do not make a band too narrow.
@@ -132,10 +137,34 @@ def measure(documents: DataFrame, tokenizer: str = PIECE_VOCABULARY) -> DataFram
     return rows.mapInArrow(run, _MEASURED)
 
 
-def _bands(passing: DataFrame, key: list[str]) -> DataFrame:
-    """The quartiles of each metric for each key of at least ``FEW`` documents."""
+def _cells(passing: DataFrame) -> DataFrame:
+    """lang, length_class, width (of the narrowest group of classes that holds ``FEW`` documents; null if the language does
+    not), widths (of all groups with a band that the class is in)."""
+    cells = passing.groupBy("lang", "length_class").agg(F.count(F.lit(1)).alias("n")).repartition("lang")
+    group = {w: Window.partitionBy("lang", F.floor(F.col("length_class") / w)) for w in WIDTHS}
+    cells = cells.select("*", F.coalesce(*[F.when(F.sum("n").over(group[w]) >= FEW, w) for w in WIDTHS]).alias("width"))
+    used = [F.when(F.max(F.coalesce(F.col("width") == w, F.lit(False))).over(group[w]), w) for w in WIDTHS]
+    return cells.select("lang", "length_class", "width", F.array_compact(F.array(*used)).alias("widths"))
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Joined with nulls equal; the keys of ``right`` are dropped."""
+    right = right.withColumnsRenamed({k: f"own_{k}" for k in keys})
+    joined = left.join(F.broadcast(right) if few else right, [left[k].eqNullSafe(right[f"own_{k}"]) for k in keys], how)
+    return joined.drop(*[f"own_{k}" for k in keys])
+
+
+def _bands(passing: DataFrame) -> tuple[DataFrame, bool]:
+    """lang, length_class, band (the quartiles of each metric; null for a language of fewer than ``FEW`` documents), and whether
+    they can be broadcast."""
+    cells = cut(_cells(passing))
+    few = cells.count() <= BROADCAST_BANDS
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in METRICS]
-    return passing.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= FEW).drop("n")
+    place = F.floor(F.col("length_class") / F.col("width")).alias("place")
+    rows = _on(passing, cells.drop("width"), ["lang", "length_class"], few).select("lang", "length_class", *METRICS, F.explode("widths").alias("width"))
+    bands = rows.select("lang", "width", place, *METRICS).groupBy("lang", "width", "place").agg(*quartiles).select("lang", "width", "place", F.struct(*METRICS).alias("band"))
+    found = _on(cells.select("lang", "length_class", "width", place), bands, ["lang", "width", "place"], few, "left")
+    return cut(found.select("lang", "length_class", "band")), few
 
 
 def judge(documents: DataFrame, tokenizer: str = PIECE_VOCABULARY) -> DataFrame:
@@ -144,16 +173,13 @@ def judge(documents: DataFrame, tokenizer: str = PIECE_VOCABULARY) -> DataFrame:
     measured = measure(documents, tokenizer).withColumns({"base_failed": base, "length_class": F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
     rows = cut(measured)
     passing = rows.filter(~F.col("base_failed"))
-    for name, key in (("own", ["lang", "length_class"]), ("all", ["length_class"])):
-        bands = cut(_bands(passing, key))
-        bands = bands.select(*[F.col(k).alias(f"{name}_{k}") for k in key], F.struct(*METRICS).alias(name))
-        same = [rows[k].eqNullSafe(bands[f"{name}_{k}"]) for k in key]
-        rows = rows.join(F.broadcast(bands) if bands.count() <= BROADCAST_BANDS else bands, same, "left").drop(*[f"{name}_{k}" for k in key])
-    band = F.coalesce("own", "all")
+    bands, few = _bands(passing)
+    rows = _on(rows, bands, ["lang", "length_class"], few, "left")
+    band = F.col("band")
     step = lambda m, i: F.greatest(F.abs(band[m][i] - band[m][1]), F.lit(LEAST[m]))
     off = lambda m, i: (F.col(m) - band[m][1]) / step(m, i)
     below = off("chars_per_token", 0) + off("entropy", 0)
     bytes_over = (off("byte_share", 2) > REACH) & (F.col("byte_share") - band["byte_share"][1] > LEAST_BYTES)
-    rejected = (below < -REACH) | bytes_over
+    rejected = F.when(band.isNotNull(), (below < -REACH) | bytes_over).otherwise(F.col("entropy") * F.ln(F.greatest("n_tokens", F.lit(1))) < RARE_NATS)
     rows = rows.withColumns({"below": below, "kept": ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))})
-    return rows.drop("own", "all")
+    return rows.drop("band")

@@ -158,6 +158,27 @@ def test_quality(spark, docs):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_of_rare_languages(spark):
+    """Texts are judged by their own language, in neighbouring lengths if need be, and by a fixed band where it is too rare."""
+    rng = random.Random(9)
+
+    def text(words, n):
+        return " ".join(rng.choices(words, k=n))
+
+    english = [f"{a}{b}" for a in ("water", "house", "river", "table", "stone", "light") for b in ("s", "ed", "ing", "er", "less", "like")]
+    chinese = ["".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(3)) for _ in range(300)]
+    georgian = ["".join(chr(rng.randint(0x10D0, 0x10F0)) for _ in range(6)) for _ in range(300)]
+    rows = [("en", text(english, rng.choice((60, 120, 240, 480, 960)))) for _ in range(600)]
+    rows += [("zh", text(chinese, 30 if i < 30 else 45)) for i in range(60)] + [("ka", text(georgian, 40)) for _ in range(20)]
+    rows += [("ka", " ".join("\u10d0" * k for k in range(1, 40)))]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    got = quality.judge(d).filter("not base_failed").toPandas()
+    kept = got.groupby("lang").kept
+    assert kept.count()["zh"] == 60 and kept.mean()["zh"] > 0.9 and got[got.lang == "zh"].below.notna().all()
+    ka = got[got.lang == "ka"].sort_values("doc_id")
+    assert ka.kept.tolist() == [True] * 20 + [False] and len(got.columns) == len(quality.judge(d.limit(0)).columns)
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(4)
     words = [f"plain{i}" for i in range(40)]
