@@ -77,11 +77,13 @@ def neighbours(edge_table: DataFrame, seeds: DataFrame, depth: int = 1) -> DataF
     return seen.distinct()
 
 
-def directed_distances(edge_table: DataFrame, pairs: DataFrame, most: int = 12) -> DataFrame:
-    """seed, entity, graph_distance: directed hops, infinite where no path of up to ``most`` leads there."""
+def directed_distances(edge_table: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """seed, entity, graph_distance: directed hops, infinite where no path (of up to ``most``, if given) leads there."""
     links = edge_table.select("src", "dst").distinct()
     reached = pairs.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("d"))
-    for hop in range(1, most + 1):
+    hop = 0
+    while most is None or hop < most:
+        hop += 1
         new = reached.filter(F.col("d") == hop - 1).join(links, F.col("node") == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
         new = new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("d", F.lit(hop))
         reached = reached.union(new).checkpoint() if hop % 2 == 0 else reached.union(new)

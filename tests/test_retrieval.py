@@ -69,6 +69,14 @@ def test_neighbours_and_distances(spark):
     assert far == {"A": 0.0, "c": 1.0, "B": math.inf}
 
 
+def test_distances_of_a_long_chain(spark):
+    queries.from_checkpoint(spark)
+    edges = spark.createDataFrame([(f"Article_{i}", f"Article_{i + 1}") for i in range(20)], "src string, dst string")
+    pairs = spark.createDataFrame([("Article_0", f"Article_{i}") for i in range(21)] + [("Article_20", "Article_0")], "seed string, entity string")
+    got = {(r["seed"], r["entity"]): r["graph_distance"] for r in graph.directed_distances(edges, pairs).collect()}
+    assert got == {("Article_0", f"Article_{i}"): float(i) for i in range(21)} | {("Article_20", "Article_0"): math.inf}
+
+
 def test_chunking_and_relations(spark):
     body = " ".join(["word"] * 60)
     docs = spark.createDataFrame([(1, f"1. Equality.\n{body} Article 14 and Article 15 state\n2. Liberty.\n{body}")], "doc_id long, text string")
