@@ -113,17 +113,63 @@ def test_near_dedup_loses_no_link(spark):
     assert got == group and len(set(group.values())) > 5
 
 
+def text_of(page, hashes=None, neighbours=()):
+    lines = html_text.blocks(page)
+    return html_text.main_text([x for x, _ in lines], [v for _, v in lines], hashes or [hash(x) for x, _ in lines], list(neighbours))
+
+
 def test_html():
     page = '<html><nav><a>m</a></nav><header>h</header><article><h1>T &amp; U</h1><p>one<br>two <b>x</b>y<p>three<div class="comments">c</div><script>"<p>z"</script></article><footer>f</footer>'
-    lines = html_text.blocks(page)
-    assert html_text.main_text([x for x, _ in lines], [v for _, v in lines], [], []) == "T & U\none two xy\nthree"
+    assert text_of(page) == "T & U\none two xy\nthree"
     assert html_text.main_text(["a", "b", "c" * 9], [0, 0, 0], [1, 2, 3], [[1, 7], [8, 2]]) == "c" * 9
+    assert html_text.main_text(["a", "b", "c" * 9], [-1, 2, 2], [1, 2, 3], [[1, 2]]) == "b\n" + "c" * 9
     assert html_text.blocks("") == []
+    assert text_of('<article><p>a<p class="related-work">b</p><ul class="menu-items"><li>c</ul><div class="ad-box">d</div><div class="share">e</div></article>') == "a\nb\nc"
+    assert text_of("<main><p>the real body</p><article class=card>teaser</article></main>") == "the real body"
+    assert text_of('<div class="menu-items">m</div><p>x<span class="ad">y</span> z') == "x z"
+
+
+def test_common_lines():
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng, held = random.Random(1), html_text.HELD_BITS
+    for n in range(400):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        html_text.HELD_BITS = 20 if n % 2 else held
+        got = [a[i] for i in sorted(html_text.common_lines(a, b))]
+        rest = iter(b)
+        assert len(got) == longest(a, b) and all(x in rest for x in got)
+    html_text.HELD_BITS = held
 
 
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://h/a/1", "<p>x</p>"), (2, "http://h/a/1", "<p>x</p>")], "page_id long, url string, html string")
-    assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "x", "x"]
+    assert sorted(r["text"] for r in html_text.extract(pages.withColumns({"host": F.lit(1), "part": F.lit("p"), "text": F.lit("t")})).collect()) == ["", "x", "x"]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_differencing(spark):
+    """Pages without any mark: what the nearest pages of the host share goes, in folders of one page, over ranges, whatever their size."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        host, folder = ("big", f"d{rng.randint(0, 40):02d}/p{i:03d}") if i < 250 else (f"h{i % 10}", f"lonely{i}/x")
+        body = [f"body {i} {k} {rng.random()}" for k in range(rng.randint(1, 5))]
+        top, end = [f"menu of {host}", f"head of {host}"], [f"foot of {host}"]
+        rows.append((i, f"http://{host}/{folder}", "".join(f"<div>{x}</div>" for x in [*top, *body, *end]), "\n".join(body), [*top, *body, *end]))
+    rows.append((900, None, "<p>" + "long words " * 200_000 + "</p>", ("long words " * 200_000).strip(), ["x"]))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = {r[0]: r[3] for r in rows}
+    for width in (2, 20, 10**6):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages, width).collect()}
+        assert got == want
 
 
 def test_mixing(spark, docs):
