@@ -2,10 +2,13 @@
 
 Documents are encoded and cut into pieces of at most ``capacity`` tokens (only longer documents are cut).  Pieces are dealt
 into groups of bounded token mass by a hash; each group is packed by best-fit decreasing and gets a lower bound on its bins
-from dual-feasible functions.  Bins that are still open then meet: in each round the open bins of ``FAN_IN`` groups form one
-exchange group, and where the bins of such a group exceed the bound of their pieces, the pieces are packed again, which
-counts only if it takes fewer bins.  Rounds go on until one group is left, so the bins lost to grouping are recovered while
-no task holds more than one group.  What moves is a piece's id and length; texts stay where they were read.
+from dual-feasible functions, unrounded.  What a group has above it is its gap: no merging of groups can save more bins than
+the sum of their gaps.  So a group without a gap is done; of the others the emptiest bins move on, until their free space
+covers the gap (all bins under ``OPEN_BELOW``, where best-fit took a whole bin more than the bound).  These meet in exchange
+groups of ``GROUP_BINS`` bins at most on average, dealt by a hash; where the bins of such a group exceed the rounded bound, their pieces are packed again, which
+counts only if it takes fewer bins.  Rounds go on until no two groups have anything to exchange, or a round saves nothing
+and leaves over half as many open bins.  No task ever holds more than a group's mass.  What moves is a piece's id and length;
+texts stay where they were read.
 
 Defined cases: null text is empty, so the document is the end token alone; rows that repeat a doc_id are packed each; null
 doc_id stays null; other columns are ignored; no rows give no rows.
@@ -22,11 +25,11 @@ from .common import cut
 from .tokens import WORD_VOCABULARY, slices, word_encoder
 
 CAPACITY, END_ID = 4096, 1
-#: Bins' worth of tokens in a group of the first round, groups that meet in an exchange, and the fill below which a bin is open.
-GROUP_BINS, FAN_IN, OPEN_BELOW = 96, 8, 0.97
+#: Bins' worth of tokens in a group, and the fill below which a bin of a group that is a bin above its bound is open.
+GROUP_BINS, OPEN_BELOW = 96, 0.97
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", grp long, bin long, offset long, fill long, n_bins long, bound long"
+PACKED = PIECES + ", grp long, bin long, offset long, n_bins long, bound double, stays boolean"
 
 
 def pieces(documents: DataFrame, tokenizer: str = WORD_VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -84,7 +87,7 @@ def best_fit_decreasing(lengths, capacity: int):
     return bins, offsets, np.asarray(fill, np.int64)
 
 
-def lower_bound(lengths, capacity: int) -> int:
+def fractional_bound(lengths, capacity: int) -> float:
     """The best of two families of dual-feasible functions: no packing of these lengths has fewer bins."""
     import numpy as np
 
@@ -95,16 +98,38 @@ def lower_bound(lengths, capacity: int) -> int:
     # sizes over C - a count as C, those below a as nothing, for each a up to half the capacity
     a = np.arange(0, capacity // 2 + 1)
     scaled = (number[-1] - number[capacity - a + 1]) * capacity + mass[capacity - a + 1] - mass[a]
-    best = int(-(-scaled.max() // capacity)) if len(scaled) else 0
+    best = float(scaled.max()) / capacity
     # rounding: x counts as floor((k + 1) x / C) of k, and as x where that is exact
     for k in range(1, 31):
         exact = (sizes * (k + 1)) % capacity == 0
         value = np.where(exact, sizes * k, (sizes * (k + 1)) // capacity * capacity)  # times capacity * k
-        total = int((value * counts).sum())
-        best = max(best, -(-total // (capacity * k)))
+        best = max(best, int((value * counts).sum()) / (capacity * k))
     return best
 
 
+def lower_bound(lengths, capacity: int) -> int:
+    """The bound in whole bins."""
+    from math import ceil
+
+    return ceil(fractional_bound(lengths, capacity) - 1e-9)
+
+
+def staying(fill, bound: float, capacity: int):
+    """Which bins of a group are done: all but the emptiest, whose free space covers what the group has above its bound."""
+    import numpy as np
+
+    gap = len(fill) - bound
+    if gap < 1e-6:
+        return np.ones(len(fill), bool)
+    if gap >= 1:
+        return fill >= int(capacity * OPEN_BELOW)
+    order = np.argsort(fill, kind="stable")
+    before = np.concatenate([[0], np.cumsum(capacity - fill[order])[:-1]])
+    stays = np.ones(len(fill), bool)
+    stays[order[before < (gap - 1e-6) * capacity]] = False
+    return stays
+
+
 def pack_groups(rows: DataFrame, capacity: int, repack: bool) -> DataFrame:
     """Best-fit decreasing within each ``grp``.  ``repack``: the rows have bins already, which stay unless the new ones are
     fewer; a group whose bins equal its bound is left as it is."""
@@ -114,40 +139,43 @@ def pack_groups(rows: DataFrame, capacity: int, repack: bool) -> DataFrame:
         import numpy as np
 
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        lengths, bound = pdf["length"].to_numpy(), lower_bound(pdf["length"].to_numpy(), capacity)
+        lengths = pdf["length"].to_numpy()
+        bound, bins = fractional_bound(lengths, capacity), None
         if repack:
-            old = pdf["bin"].to_numpy()
-            names, bins = np.unique(old, return_inverse=True)
-            offsets, fill, n = pdf["offset"].to_numpy(), pdf["fill"].to_numpy(), len(names)
-            if n > bound:
-                new, new_offsets, new_fill = best_fit_decreasing(lengths, capacity)
-                if len(new_fill) < n:
-                    bins, offsets, fill, n = new, new_offsets, new_fill[new], len(new_fill)
-        else:
-            bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-            n, fill = len(fill), fill[bins]
-        return pdf.assign(bin=bins + (pdf["grp"].to_numpy() << 24), offset=offsets, fill=fill, n_bins=n, bound=bound)
-
-    have = rows if repack else rows.withColumns({c: F.lit(0).cast("long") for c in ("bin", "offset", "fill", "n_bins", "bound")})
+            names, bins = np.unique(pdf["bin"].to_numpy(), return_inverse=True)
+            offsets, fill = pdf["offset"].to_numpy(), np.bincount(bins, lengths).astype(np.int64)
+        if bins is None or len(fill) > bound + 1 - 1e-9:
+            new = best_fit_decreasing(lengths, capacity)
+            if bins is None or len(new[2]) < len(fill):
+                bins, offsets, fill = new
+        return pdf.assign(bin=bins + (pdf["grp"].to_numpy() << 24), offset=offsets, n_bins=len(fill), bound=bound, stays=staying(fill, bound, capacity)[bins])
+
+    have = rows if repack else rows.withColumns({"bin": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    have = have.withColumns({"n_bins": F.lit(0).cast("long"), "bound": F.lit(0.0), "stays": F.lit(False)})
     names = [f.split()[0] for f in PACKED.split(", ")]
     return have.select(*names).groupBy("grp").applyInPandas(lambda pdf: pack(pdf.astype({"doc_id": "Int64"})), PACKED)
 
 
-def pack(documents: DataFrame, tokenizer: str = WORD_VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str = WORD_VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, group_bins: int = GROUP_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and round, n_bins, bound: the round and the group's
     certificate under which the piece got its place."""
     rows = cut(pieces(documents, tokenizer, capacity, end_id))
     tokens = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    groups = max(1, -(-tokens // (capacity * GROUP_BINS)))
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    groups = max(1, -(-tokens // (capacity * group_bins)))
+    # the number of a written row keeps rows that repeat from all falling into one group
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     packed = cut(pack_groups(dealt, capacity, repack=False)).withColumn("round", F.lit(0))
-    is_open = F.col("fill") < int(capacity * OPEN_BELOW)
     done, turn = [], 0
     while groups > 1:
-        turn, groups = turn + 1, -(-groups // FAN_IN)
-        done.append(packed.filter(~is_open))
-        met = packed.filter(is_open).withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
+        moving = packed.filter(~F.col("stays"))
+        n_open = moving.agg(F.countDistinct("bin")).first()[0]
+        if not n_open or (turn and 2 * n_open > before and saved == 0):  # noqa: F821
+            break
+        turn, before, groups = turn + 1, n_open, -(-n_open // group_bins)
+        done.append(packed.filter("stays"))
+        met = moving.withColumn("grp", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
         packed = cut(pack_groups(met, capacity, repack=True)).withColumn("round", F.lit(turn))
+        saved = n_open - packed.agg(F.countDistinct("bin")).first()[0]
     for part in done:
         packed = packed.unionByName(part)
     return packed.select(
