@@ -6,6 +6,9 @@ what truncation keeps; prefix sums answer quantiles.
 
 Defined cases: null text is empty and has length 0 plus the ``end_tokens``; repeated rows count each time; no rows give no
 rows; other columns are ignored.
+
+The tables here grow with the number of distinct lengths, never with the documents: a task sums one block of ``BLOCK``
+lengths at most, and one task the blocks (a million documents' worth of distinct lengths is a few thousand rows).
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import WORD_VOCABULARY, slices, word_encoder
 
 #: Lengths are summed within blocks of this width, then over blocks, so that no one task holds all lengths.
@@ -36,7 +40,8 @@ def encoded_lengths(documents: DataFrame, tokenizer: str = WORD_VOCABULARY, end_
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens, n_docs: written out, since every answer reads it and documents are to be encoded once."""
+    return cut(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -60,3 +65,21 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
         "n_tokens", "n_docs", docs.alias("docs_upto"), over.alias("docs_over"), (F.col("total_tokens") - tokens).alias("tokens_over"),
         "total_tokens", (tokens + over * F.col("n_tokens")).alias("kept_tokens"), (docs / F.col("all_docs")).alias("quantile"),
     )
+
+
+def for_limits(hist: DataFrame, limits: DataFrame) -> DataFrame:
+    """The same answers for any limits (n_tokens, distinct): limit, docs_upto, docs_over, tokens_over, total_tokens,
+    kept_tokens, quantile.  A limit joins the histogram as a length that no document has."""
+    asked = limits.select(F.col("n_tokens").cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_docs"), F.lit(True).alias("asked"))
+    both = hist.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"), F.max("asked").alias("asked"))
+    both = cut(both)
+    found = suffix_sums(both.select("n_tokens", "n_docs")).join(both.filter("asked").select("n_tokens"), "n_tokens", "left_semi")
+    return found.drop("n_docs").withColumnRenamed("n_tokens", "limit")
+
+
+def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
+    """share, n_tokens: the least length that at least that share of the documents doesn't exceed."""
+    rows = suffix_sums(hist).select("n_tokens", "quantile")
+    least = [F.min(F.when(F.col("quantile") >= s - 1e-12, F.col("n_tokens"))).alias(f"q{i}") for i, s in enumerate(shares)]
+    pairs = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"q{i}").alias("n_tokens")) for i, s in enumerate(shares)])
+    return rows.agg(*least).select(F.explode(pairs).alias("p")).select("p.*").filter("n_tokens is not null")
