@@ -7,7 +7,8 @@ dealt out by a hash.
 
 Defined cases: null source is a source of its own; null text has no code points; a source without code points has rate 1,
 so empty documents stay; rows that repeat a doc_id draw the same count; null doc_id draws as the text "null"; other columns
-pass through.
+pass through; input columns called like an added one (mix_rate, mix_copies, mix_copy, mix_key) keep their name and value, and
+the added one is left out; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -59,14 +60,19 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["count"])).otherwise(0)
 
 
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_key")
+
+
 def replicate(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: float = 1.0, seed: str = SEED) -> DataFrame:
     """The input's columns, and mix_rate, mix_copies, mix_copy (from 0), mix_key: a row per copy, dealt out by mix_key."""
     table = rates(documents, weights, temperature, budget)
     small = table.count() <= BROADCAST_SOURCES
     table = table.select("rate_source", F.col("rate").alias("mix_rate"))
-    joined = documents.join(F.broadcast(table) if small else table, documents["source"].eqNullSafe(table["rate_source"])).drop("rate_source")
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # the documents are one column meanwhile, so no name of theirs can clash with one used here
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"))
+    joined = rows.join(F.broadcast(table) if small else table, F.col("document.source").eqNullSafe(F.col("rate_source")))
+    ident = F.coalesce(F.col("document.doc_id").cast("string"), F.lit("null"))
     drawn = joined.withColumn("mix_copies", poisson_quantile(F.col("mix_rate"), hashed_uniform(F.lit(seed), ident)))
     copies = drawn.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("mix_copy")).cast("binary")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select("document.*", *[c for c in ADDED if c not in documents.columns])
