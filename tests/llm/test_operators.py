@@ -33,10 +33,34 @@ def test_chat_round_trip(spark):
     lines = "".join(f"{r}\n{t}\n" for r, t in (("user", nasty), ("assistant", nasty), ("", "")))
     assert got[1]["turns_sha256"] == hashlib.sha256(lines.encode()).hexdigest()
     assert got[2]["loss_chars"] == 0 and got[None]["n_turns"] == 1
-    e = chat.explode_examples(made).filter("conv_id = 1").first()
+    examples = chat.written_out(chat.explode_examples(made, "formatted")).orderBy("conv_id", "example").collect()
+    assert [(r["conv_id"], r["example"]) for r in examples] == [(None, 0), (1, 0)]
+    e = examples[1]
     escaped = e["text"][e["loss_start"] : e["loss_end"]]
-    assert chat.TURN not in escaped and e["example"] == 0
-    assert chat.format_conversations(turns.limit(0)).count() == 0
+    assert chat.TURN not in escaped and e["text"].startswith("<|turn|>user") and e["text"][e["loss_end"] :] == chat.END
+    unescaped, at = "", 0
+    while at < len(escaped):
+        at += escaped[at] == "\\"
+        unescaped, at = unescaped + escaped[at], at + 1
+    assert unescaped == nasty
+    assert chat.format_conversations(turns.limit(0)).count() == 0 and chat.read_back(made.limit(0)).count() == 0
+
+
+def test_chat_prefixes(spark):
+    """Every assistant turn is an example of the turns before it; long conversations, ties, repeats and extra columns."""
+    rng = random.Random(2)
+    rows = [(1, t, "assistant" if t % 2 else "user", "w" * rng.randint(0, 40)) for t in range(400)] + [(2, 5, "assistant", "b"), (2, 5, "assistant", "a"), (2, 5, "assistant", "a"), (3, None, "assistant", "x" * 300_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"segment": F.lit(1), "pos": F.lit("p"), "examples": F.lit(0)})
+    made = chat.format_conversations(turns)
+    got = chat.written_out(chat.explode_examples(made, "formatted")).collect()
+    for conv, n in ((1, 200), (2, 3), (3, 1)):
+        own = sorted((r[1], r[3]) for r in rows if r[0] == conv) if conv == 2 else [(r[1], r[3]) for r in rows if r[0] == conv]
+        parts = [f"{chat.TURN}{'assistant' if conv != 1 or t % 2 else 'user'}{chat.BODY}{x}{chat.END}" for t, x in own]
+        trained = [i for i, (t, _) in enumerate(own) if conv != 1 or t % 2]
+        found = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["example"])
+        assert len(found) == n == len(trained)
+        for r, i in zip(found, trained, strict=True):
+            assert r["text"] == "".join(parts[: i + 1]) and r["text"][r["loss_start"] : r["loss_end"]] == own[i][1]
 
 
 def test_encoder_equals_tokenizer():
@@ -47,13 +71,44 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_packing(spark, docs):
-    rows = packing.pack(docs).toPandas()
-    assert rows.groupby("sequence_id").length.sum().max() <= 4096
+def check_packing(rows, capacity=4096):
+    assert rows.groupby("sequence_id").length.sum().max() <= capacity
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+
+
+def test_packing(spark, docs):
+    from zlib import crc32
+
+    rows = packing.pack(docs.withColumns({"bin": F.lit(1), "fill": F.lit("f"), "grp": F.lit(2)})).toPandas()
+    check_packing(rows)
     assert len(rows[rows.doc_id == 3]) == 1 and rows[rows.doc_id == 2].length.tolist() == [1]
     assert packing.pack(docs.limit(0)).count() == 0
+    tokenizer, want = WordEncoder().tokenizer, []
+    for doc_id, text, *_ in ROWS:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want.append((doc_id, k, at, len(part), crc32(np.array(part, "<u4").tobytes())))
+    got = [(None if np.isnan(d) else int(d), *r) for d, *r in rows[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_packing_over_groups(spark):
+    """Several groups that exchange: gapless, nothing lost, few sequences over the bound, and no task above a group's mass."""
+    rng = random.Random(4)
+    rows = [(i, "a " * (rng.choice((3, 20, 45, 55, 70)) - 1)) for i in range(3000)] + [(-1, "a " * 60)] * 500
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(d, capacity=100, group_bins=60).toPandas()
+    check_packing(got, 100)
+    assert len(got) == len(rows) and got["round"].max() >= 2
+    n, bound, whole = got.sequence_id.nunique(), packing.lower_bound(got.length.to_numpy(), 100), len(packing.best_fit_decreasing(got.length.to_numpy(), 100)[2])
+    assert bound <= n <= 1.02 * whole
+    # documents of just over half a sequence: certified at once, so no bin moves
+    d = spark.createDataFrame([(i, "a " * 51) for i in range(600)], "doc_id long, text string")
+    got = packing.pack(d, capacity=100, group_bins=12).toPandas()
+    check_packing(got, 100)
+    assert got.sequence_id.nunique() == 600 and got["round"].max() == 0 and (got.n_bins <= 40).all()
 
 
 def test_bounds_and_fit():
@@ -64,6 +119,22 @@ def test_bounds_and_fit():
         assert fill.max() <= 100 and fill.sum() == lengths.sum() and packing.lower_bound(lengths, 100) <= len(fill)
     assert packing.lower_bound([60, 60, 60, 40], 100) == 3
 
+    def fewest(lengths, free, n):  # all packings
+        if not lengths:
+            return n
+        best = fewest(lengths[1:], [*free, 100 - lengths[0]], n + 1)
+        for i, f in enumerate(free):
+            if f >= lengths[0] and f not in free[:i]:
+                best = min(best, fewest(lengths[1:], [*free[:i], f - lengths[0], *free[i + 1 :]], n))
+        return best
+
+    for _ in range(60):
+        lengths = sorted(rng.integers(15, 80, 8).tolist(), reverse=True)
+        least = fewest(lengths, [], 0)
+        assert packing.lower_bound(lengths, 100) <= least <= len(packing.best_fit_decreasing(lengths, 100)[2]) <= least + 1
+    assert packing.staying(np.array([100, 95, 30]), 2.3, 100).tolist() == [True, True, False]
+    assert packing.staying(np.array([51, 51]), 2.0, 100).all()
+
 
 def test_near_dedup(spark, docs):
     rng = random.Random(5)
@@ -176,6 +247,10 @@ def test_mixing(spark, docs):
     rows = mixing.replicate(docs)
     assert set(docs.columns) <= set(rows.columns) and rows.filter("mix_copy >= mix_copies").count() == 0
     assert mixing.replicate(docs.limit(0)).count() == 0
+    clashing = docs.withColumns({c: F.lit(f"own {c}") for c in ("mix_rate", "rate_source", "mix_copies", "mix_key", "document", "size", "a.b")})
+    kept = mixing.replicate(clashing)
+    assert kept.columns == [*clashing.columns, "mix_copy"] and kept.count() == rows.count()
+    assert all(r[c] == f"own {c}" for r in kept.collect() for c in ("mix_rate", "rate_source", "mix_copies", "a.b"))
     rate, n = 2.5, 4000
     drawn = spark.range(n).select(mixing.poisson_quantile(F.lit(rate), mixing.hashed_uniform(F.lit("t"), F.col("id").cast("string"))).alias("k")).toPandas().k
     assert abs(drawn.mean() - rate) < 0.1 and abs(drawn.var() - rate) < 0.25
@@ -187,6 +262,18 @@ def test_token_counts(spark, docs):
     for r in token_counts.suffix_sums(token_counts.histogram(lengths), block=3).collect():
         limit = r["n_tokens"]
         assert r["kept_tokens"] == sum(min(x, limit) for x in n) and r["docs_over"] == sum(x > limit for x in n) and r["total_tokens"] == sum(n)
+    tokenizer = WordEncoder().tokenizer
+    assert sorted(n) == sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in ROWS)
+    limits = [0, 1, 2, 7, 5000, 10**6]
+    hist = token_counts.histogram(lengths)
+    for r in token_counts.for_limits(hist, spark.createDataFrame([(x,) for x in limits], "n_tokens int")).collect():
+        assert r["kept_tokens"] == sum(min(x, r["limit"]) for x in n) and r["docs_over"] == sum(x > r["limit"] for x in n) and r["tokens_over"] == sum(x for x in n if x > r["limit"])
+        limits.remove(r["limit"])
+    assert not limits
+    for r in token_counts.quantiles(hist, [0.0, 0.3, 0.5, 1.0]).collect():
+        assert r["n_tokens"] == min(x for x in n if sum(y <= x for y in n) >= r["share"] * len(n))
+    empty = token_counts.histogram(token_counts.encoded_lengths(docs.limit(0)))
+    assert token_counts.suffix_sums(empty).count() == 0 and token_counts.quantiles(empty, [0.5]).count() == 0
 
 
 def test_repeated_words():
