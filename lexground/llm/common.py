@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +27,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared checkpoint folder, of which later jobs read only the columns they need; and its path,
+    for ``removed``."""
+    from uuid import uuid4
+
+    place = f"{checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), place
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Deletes a written table, by Spark's own file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def nested(df: DataFrame) -> DataFrame:
+    """All columns as one, ``document``, so that no name of theirs can clash with one added beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("document"))
+
+
+def beside(rows: DataFrame, input_columns: list[str], added: list[str]) -> DataFrame:
+    """The columns of ``document`` and the ``added`` ones; an input column called like an added one is left out."""
+    return rows.select(*[F.col(f"document.`{c}`") for c in input_columns if c not in added], *added)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, nested
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
@@ -68,9 +68,7 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, tem
     table = rates(documents, weights, temperature, budget)
     small = table.count() <= BROADCAST_SOURCES
     table = table.select("rate_source", F.col("rate").alias("mix_rate"))
-    # the documents are one column meanwhile, so no name of theirs can clash with one used here
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"))
-    joined = rows.join(F.broadcast(table) if small else table, F.col("document.source").eqNullSafe(F.col("rate_source")))
+    joined = nested(documents).join(F.broadcast(table) if small else table, F.col("document.source").eqNullSafe(F.col("rate_source")))
     ident = F.coalesce(F.col("document.doc_id").cast("string"), F.lit("null"))
     drawn = joined.withColumn("mix_copies", poisson_quantile(F.col("mix_rate"), hashed_uniform(F.lit(seed), ident)))
     copies = drawn.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))

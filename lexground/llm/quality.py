@@ -2,15 +2,22 @@
 
 A public vocabulary with byte fallback encodes the text.  Characters per token, the share of byte-fallback tokens and the
 entropy of the token distribution (over the logarithm of the number of tokens) place a document among all documents of its
-language and length class that pass the base rule; the bands follow the corpus and are computed over all of it.  A distance
-is counted in distances of lower quartile and median.  Rejected are documents whose characters per token and entropy
-together lie more than ``REACH`` such distances below the medians (text that the vocabulary splits badly and that repeats
-few tokens), and those whose byte share lies more than ``REACH`` upper distances, and ``LEAST_BYTES``, above.
-
-Defined cases: null text has no words and fails the base rule; null language is a language of its own; a language's length
-class of fewer than ``FEW`` documents uses the narrowest group of its neighbouring length classes (of 2, 4, 8 and so on, up
-to the whole language) that has so many; a language of fewer than ``FEW`` documents has a fixed band, which rejects a token
-entropy under ``RARE_NATS`` only, as the other measures depend on the script; repeated rows are judged each; other columns pass through ``judge`` unread; no rows give no rows.
+language and length class that pass the base rule; the bands follow the corpus and are computed over all of it, by exact
+quartiles of the measures rounded to ``DIGITS`` digits.  A distance is counted in distances of lower quartile and median.
+Rejected are documents whose characters per token and entropy together lie more than ``REACH`` such distances below the
+medians (text that the vocabulary splits badly and that repeats few tokens), those whose byte share lies more than ``REACH``
+upper distances, and ``LEAST_BYTES``, above, and those whose token entropy is under ``LEAST_NATS``.
+
+The less documents a band rests on, the more it leans on a wider one: a length class's quartiles count as its documents, and
+those of the next wider group of classes (``WIDTHS``, up to the whole language) as ``WEIGHT`` documents; a language's own
+distances lean in the same way on fixed wide ones, ``UNSURE``.  So every document has a band of its own language, its own
+measures among them, and no number of documents switches anything; a language met a few times is rejected by its token entropy only.
+
+Defined cases: null text has no words and fails the base rule; null language is a language of its own; repeated rows are
+judged each, by their own text; other columns pass through ``judge`` unread, but for those called like a column it adds, which are left out;
+``keep`` returns its rows as they came; no rows give no rows.
+
+Words are encoded one by one, so the number of tokens is that of the text with each run of white space made one space.
 """
 
 from __future__ import annotations
@@ -18,20 +25,26 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import beside, cut, nested, written
 from .tokens import MEMO_CHARS, MEMO_CHUNKS, PIECE_VOCABULARY, vocabulary
 
 #: Base rule: words at least, and the share of words in repeated windows of five at most.
 MIN_WORDS, MAX_REPEATED, SPAN = 10, 0.20, 5
 SYMBOLS = "#*$%&|<>"
-FEW = 50
-#: Numbers of length classes that share a band; the last is more than there are.
-WIDTHS = (1, 2, 4, 8, 16, 32, 64, 128)
-#: The least token entropy, in nats, of a text in a language without bands (some 4.5 tokens equally often).
-RARE_NATS = 1.5
+#: Numbers of neighbouring length classes that have a band in common; the last is more than there are.
+WIDTHS = (1, 4, 128)
+#: Documents that a wider group's quartiles count as.
+WEIGHT = 20
+#: Digits of the measures that quartiles are taken of.
+DIGITS = 4
+#: The least token entropy, in nats, of a text (1.5: some 4.5 tokens equally often).
+LEAST_NATS = 1.5
+#: Distances of quartile and median of a language of which nothing is known.
+UNSURE = {"chars_per_token": 1.0, "byte_share": 0.2, "entropy": 0.2}
 #: The summed distance below the medians, and beyond the byte share's median, that rejects; the least byte share that does.
 REACH, LEAST_BYTES = 6.0, 0.05
 #: The least distance of quartile and median that counts, so that groups of copies do not make a band too narrow.
@@ -41,7 +54,7 @@ BROADCAST_BANDS = 20_000
 METRICS = ("chars_per_token", "byte_share", "entropy")
 
 _blank = re.compile("[\x20\x09-\x0d]+")
-_MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
+_MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
 
 def repeated_words(words: list) -> int:
@@ -109,77 +122,103 @@ class PieceCounter:
         return n, float(self.is_byte[ids].mean()), float(np.log(n) - (counts * np.log(counts)).sum() / n) / float(np.log(n))
 
 
+_made: dict = {}
+
+
+def piece_counter(name: str) -> PieceCounter:
+    """One counter per Python worker."""
+    if name not in _made:
+        _made[name] = PieceCounter(name)
+    return _made[name]
+
+
+def _measures(tokenizer: str):
+    """A function of a text column: the counts and fertility of each whole text.  Only texts leave the JVM; the rows stay."""
+    names = [f.split()[0] for f in _MEASURED.split(", ")]
+
+    @F.pandas_udf(_MEASURED)
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        counter, rows = piece_counter(tokenizer), []
+        for text in texts:
+            text = text or ""
+            words = _blank.sub(" ", text).strip(" ").split(" ") if text else []
+            if words == [""]:
+                words = []
+            chars = sum(map(len, words))
+            lines = [x for x in text.split("\n") if x and not _blank.fullmatch(x)]
+            tokens, byte_share, entropy = counter.fertility(words)
+            rows.append((
+                len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
+                tokens, chars / max(1, tokens), byte_share, entropy,
+            ))
+        return pd.DataFrame(rows, columns=names)
+
+    return measured.asNondeterministic()  # so that it is evaluated once however often its fields are used
+
+
 def measure(documents: DataFrame, tokenizer: str = PIECE_VOCABULARY) -> DataFrame:
-    """doc_id, lang, and the counts and fertility of each document's whole text."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, names = PieceCounter(tokenizer), [f.split()[0] for f in _MEASURED.split(", ")]
-        for batch in batches:
-            rows = []
-            for text in batch.column(2).to_pylist():
-                text = text or ""
-                words = _blank.sub(" ", text).strip(" ").split(" ") if text else []
-                if words == [""]:
-                    words = []
-                chars = sum(map(len, words))
-                lines = [x for x in text.split("\n") if x and not _blank.fullmatch(x)]
-                tokens, byte_share, entropy = counter.fertility(words)
-                rows.append((
-                    len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
-                    tokens, chars / max(1, tokens), byte_share, entropy,
-                ))
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, _MEASURED)
-
-
-def _cells(passing: DataFrame) -> DataFrame:
-    """lang, length_class, width (of the narrowest group of classes that holds ``FEW`` documents; null if the language does
-    not), widths (of all groups with a band that the class is in)."""
-    cells = passing.groupBy("lang", "length_class").agg(F.count(F.lit(1)).alias("n")).repartition("lang")
-    group = {w: Window.partitionBy("lang", F.floor(F.col("length_class") / w)) for w in WIDTHS}
-    cells = cells.select("*", F.coalesce(*[F.when(F.sum("n").over(group[w]) >= FEW, w) for w in WIDTHS]).alias("width"))
-    used = [F.when(F.max(F.coalesce(F.col("width") == w, F.lit(False))).over(group[w]), w) for w in WIDTHS]
-    return cells.select("lang", "length_class", "width", F.array_compact(F.array(*used)).alias("widths"))
-
-
-def _on(left: DataFrame, right: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
-    """Joined with nulls equal; the keys of ``right`` are dropped."""
+    """document (all columns), lang, the measures, base_failed, length_class."""
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
+    rows = nested(documents).withColumn("m", _measures(tokenizer)(F.col("document.text").cast("string")))
+    rows = rows.select("document", F.col("document.lang").cast("string").alias("lang"), "m.*")
+    return rows.withColumns({"base_failed": base, "length_class": F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Joined, nulls being equal; the keys of ``right`` are dropped."""
     right = right.withColumnsRenamed({k: f"own_{k}" for k in keys})
-    joined = left.join(F.broadcast(right) if few else right, [left[k].eqNullSafe(right[f"own_{k}"]) for k in keys], how)
+    joined = left.join(F.broadcast(right) if few else right, [left[k].eqNullSafe(right[f"own_{k}"]) for k in keys], "left")
     return joined.drop(*[f"own_{k}" for k in keys])
 
 
 def _bands(passing: DataFrame) -> tuple[DataFrame, bool]:
-    """lang, length_class, band (the quartiles of each metric; null for a language of fewer than ``FEW`` documents), and whether
-    they can be broadcast."""
-    cells = cut(_cells(passing))
-    few = cells.count() <= BROADCAST_BANDS
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in METRICS]
-    place = F.floor(F.col("length_class") / F.col("width")).alias("place")
-    rows = _on(passing, cells.drop("width"), ["lang", "length_class"], few).select("lang", "length_class", *METRICS, F.explode("widths").alias("width"))
-    bands = rows.select("lang", "width", place, *METRICS).groupBy("lang", "width", "place").agg(*quartiles).select("lang", "width", "place", F.struct(*METRICS).alias("band"))
-    found = _on(cells.select("lang", "length_class", "width", place), bands, ["lang", "width", "place"], few, "left")
-    return cut(found.select("lang", "length_class", "band")), few
-
-
-def judge(documents: DataFrame, tokenizer: str = PIECE_VOCABULARY) -> DataFrame:
-    """The measures of each document, base_failed, below (the summed distance), kept."""
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
-    measured = measure(documents, tokenizer).withColumns({"base_failed": base, "length_class": F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
-    rows = cut(measured)
-    passing = rows.filter(~F.col("base_failed"))
-    bands, few = _bands(passing)
-    rows = _on(rows, bands, ["lang", "length_class"], few, "left")
+    """lang, length_class, band (for each metric: lower distance, median, upper distance), and whether they can be broadcast."""
+    place = lambda w: F.floor(F.col("length_class") / w).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), place(w).alias("place")) for w in WIDTHS]))
+    rows = passing.select("lang", each.alias("g"), *[F.round(m, DIGITS).alias(m) for m in METRICS]).select("lang", "g.*", *METRICS)
+    quarters = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])
+    groups = cut(rows.groupBy("lang", "width", "place").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(m, quarters).alias(m) for m in METRICS]))
+    few = groups.count() <= BROADCAST_BANDS
+    cells = groups.filter(F.col("width") == WIDTHS[0]).select("lang", F.col("place").alias("length_class"))
+    for w in WIDTHS:
+        own = groups.filter(F.col("width") == w).select("lang", F.col("place").alias(f"p{w}"), F.struct("n", *METRICS).alias(f"g{w}"))
+        cells = _on(cells.withColumn(f"p{w}", place(w)), own, ["lang", f"p{w}"], few).drop(f"p{w}")
+    bands = []
+    for m in METRICS:
+        middle, sides = None, [F.lit(UNSURE[m]), F.lit(UNSURE[m])]
+        for w in reversed(WIDTHS):
+            n, q = F.col(f"g{w}.n"), F.col(f"g{w}.{m}")
+            lean = lambda own, wider: (n * own + WEIGHT * wider) / (n + WEIGHT)  # noqa: B023, E731
+            middle = q[1] if middle is None else lean(q[1], middle)
+            sides = [lean(q[1] - q[0], sides[0]), lean(q[2] - q[1], sides[1])]
+        bands.append(F.array(sides[0], middle, sides[1]).alias(m))
+    return cut(cells.select("lang", "length_class", F.struct(*bands).alias("band"))), few
+
+
+MEASURES = [f.split()[0] for f in _MEASURED.split(", ")]
+ADDED = [*MEASURES, "base_failed", "below", "kept"]
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """document, and the added columns, from written measures."""
+    bands, few = _bands(rows.filter(~F.col("base_failed")))
+    rows = _on(rows, bands, ["lang", "length_class"], few)
     band = F.col("band")
-    step = lambda m, i: F.greatest(F.abs(band[m][i] - band[m][1]), F.lit(LEAST[m]))
-    off = lambda m, i: (F.col(m) - band[m][1]) / step(m, i)
+    off = lambda m, i: (F.col(m) - band[m][1]) / F.greatest(band[m][i], F.lit(LEAST[m]))
     below = off("chars_per_token", 0) + off("entropy", 0)
     bytes_over = (off("byte_share", 2) > REACH) & (F.col("byte_share") - band["byte_share"][1] > LEAST_BYTES)
-    rejected = F.when(band.isNotNull(), (below < -REACH) | bytes_over).otherwise(F.col("entropy") * F.ln(F.greatest("n_tokens", F.lit(1))) < RARE_NATS)
-    rows = rows.withColumns({"below": below, "kept": ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))})
-    return rows.drop("band")
+    poor = F.col("entropy") * F.ln(F.greatest("n_tokens", F.lit(1))) < LEAST_NATS
+    rejected = F.coalesce(below < -REACH, F.lit(False)) | F.coalesce(bytes_over, F.lit(False)) | poor
+    return rows.withColumns({"below": below, "kept": ~F.col("base_failed") & ~rejected}).select("document", *ADDED)
+
+
+def judge(documents: DataFrame, tokenizer: str = PIECE_VOCABULARY) -> DataFrame:
+    """The documents' columns, and the measures, base_failed, below (the summed distance), kept.  Texts are not carried."""
+    slim = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c != "text"], "text")
+    rows = measure(slim, tokenizer).withColumn("document", F.col("document").dropFields("text") if len(slim.columns) > 1 else F.col("document"))
+    return beside(_judged(cut(rows)), [c for c in documents.columns if c != "text"], ADDED)
+
+
+def keep(documents: DataFrame, tokenizer: str = PIECE_VOCABULARY) -> DataFrame:
+    """The documents that are kept; each row goes by its own text."""
+    return _judged(written(measure(documents, tokenizer))[0]).filter("kept").select("document.*")

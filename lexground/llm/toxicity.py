@@ -8,14 +8,16 @@ log-likelihoods.  Scores are length-normalised over windows of ``WINDOW`` words
 words of a long text; the largest window, the text's mean and its length give a probability by logistic regression.
 
 Labels are read only for documents whose crc32(doc_id as text) mod 5 is not 0: remainders 1 to 3 give the counts, 4 the
-logistic regression.  The fit is bounded by labelled rows only, ``MAX_LABELLED`` of a class (by a hash, a documented
-parameter); of these rows every word and every character sequence counts, the rare ones too.  Words are scored where they
+logistic regression.  The fit is bounded by labelled rows only, about ``MAX_LABELLED`` of a class for the counts and
+``MAX_CALIBRATED`` of a class for the regression (by a hash, documented parameters; of fewer rows, all); of these rows every word and every character sequence counts, the rare ones too.  Words are scored where they
 lie, and only their 64-bit digests and scores are broadcast.  The bound does not bind how texts are scored: every text is
 scored whole.
 
 Defined cases: null text is empty and gets the score of a text without words; a doc_id labelled more than once counts as
-toxic if any label says so; null labels do not count; without labels of both classes every score is 0; null doc_id is not
-held out and not learned from; rows that repeat a doc_id are scored each; other columns pass through ``score`` unread.
+toxic if any label says so; null labels do not count; without labels of both classes among the counts every score is 0, and
+without both among the regression's rows its weights are ``UNCALIBRATED``; null doc_id is not held out and not learned from;
+rows that repeat a doc_id are scored each, by their own text; other columns pass through ``score`` unread, but for those called
+like a column it adds, which are left out; ``keep`` returns its rows as they came; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,22 +25,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import beside, cut, nested
 
 ORDER, WINDOW = 6, 2
 MAX_LABELLED, MAX_CALIBRATED = 60_000, 20_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 MEMO_WORDS = 120_000
+#: The shared probability of a character after a sequence when they were never met together.
+UNMET = 1e-4
+#: Weights of window, mean, log_words and the constant where there is nothing to fit them on: a window's likelihood ratio of e.
+UNCALIBRATED = (8.0, 0.0, 0.0, -8.0)
 _word = re.compile(r"\w+")
 #: What stands before and after a word's characters, and before a whole word among the counts.
 PAD, STOP, WHOLE = "\x02", "\x03", "\x04"
 
 
-def fold(doc_id="doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS))
+def fold(doc_id):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
 def spelt(word: str, order: int = ORDER) -> list[str]:
@@ -76,9 +83,35 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 
 def word_key(word: str) -> int:
     """A 64-bit digest."""
-    from hashlib import blake2b
+    import xxhash
 
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def word_keys(words):
+    import numpy as np
+
+    return np.fromiter(map(word_key, words), np.int64, len(words))
+
+
+class Digests:
+    """Rows of figures by the digests of names, as sorted arrays, which take a tenth of a dict's memory in every worker."""
+
+    def __init__(self, names, figures):
+        import numpy as np
+
+        keys = word_keys(names)
+        order = np.argsort(keys)
+        self.keys, self.figures = keys[order], np.asarray(figures, float)[order]
+
+    def find(self, keys):
+        """Whether each key is there, and its figures (any, where it is not)."""
+        import numpy as np
+
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros((len(keys), *self.figures.shape[1:]))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.figures[at]
 
 
 class Spelling:
@@ -103,20 +136,7 @@ class Spelling:
                 seen = np.where(total[at] > 0, np.maximum(c - discount, 0) / total[at], 0.0)
             self.log_p[k] = np.log(seen + backoff[at] * lower)
             self.log_backoff[k] = np.log(backoff)
-        self.places = {g: i for i, g in enumerate(grams)}
-        self.of_context = {h: i for i, h in enumerate(contexts)}
-
-    def log_likelihood(self, word: str, k: int) -> float:
-        from math import log
-
-        found = 0.0
-        for g in spelt(word, self.order):
-            if (i := self.places.get(g)) is not None:
-                found += self.log_p[k][i]
-            else:
-                i = self.of_context.get(g[:-1])
-                found += (0.0 if i is None else self.log_backoff[k][i]) + log(self.shared.get(g[1:], 1e-4))
-        return found
+        self.grams, self.contexts = grams, list(contexts)
 
     def _shared(self, grams: list[str]) -> dict[str, float]:
         """Interpolated probabilities of the last character of each lower-order sequence, from pooled continuation counts."""
@@ -141,6 +161,39 @@ class Spelling:
         return lower
 
 
+class Letters:
+    """What scoring words by their spelling needs of a model."""
+
+    def __init__(self, spelling: Spelling):
+        import numpy as np
+
+        self.order = spelling.order
+        both = lambda x: np.stack([x[0], x[1]], axis=1)
+        self.grams = Digests(spelling.grams, both(spelling.log_p))
+        self.contexts = Digests(spelling.contexts, both(spelling.log_backoff))
+        self.lower = Digests(list(spelling.shared), np.log(list(spelling.shared.values())))
+
+    def log_likelihoods(self, words: list[str]):
+        """A row for each word: its log-likelihood as ordinary and as toxic."""
+        import numpy as np
+
+        number: dict[str, int] = {}
+        ids, lengths = [], []
+        for w in words:
+            grams = spelt(w, self.order)
+            lengths.append(len(grams))
+            ids += [number.setdefault(g, len(number)) for g in grams]
+        grams = list(number)
+        found, each = self.grams.find(word_keys(grams))
+        new = np.flatnonzero(~found)
+        if len(new):
+            known, backoff = self.contexts.find(word_keys([grams[i][:-1] for i in new]))
+            below, lower = self.lower.find(word_keys([grams[i][1:] for i in new]))
+            each = each.copy()
+            each[new] = np.where(known[:, None], backoff, 0.0) + np.where(below, lower, np.log(UNMET))[:, None]
+        return np.add.reduceat(each[ids], np.cumsum([0, *lengths[:-1]])) if words else np.zeros((0, 2))
+
+
 class Masses:
     """The first level: the discount of words, the mass left to spellings and the occurrences, of either class."""
 
@@ -157,25 +210,26 @@ class Masses:
             self.discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
             self.left[k] = max(self.discount[k] * row[f"{c}_kinds"] / self.total[k], 1e-6)
 
-    def log_p(self, n: int, by_letters: float, k: int) -> float:
-        from math import exp, log
+    def log_p(self, n, by_letters, k: int):
+        """Of words met n times."""
+        import numpy as np
 
-        return log(max(n - self.discount[k], 0) / self.total[k] + self.left[k] * exp(by_letters) + 1e-300)
+        return np.log(np.maximum(n - self.discount[k], 0) / self.total[k] + self.left[k] * np.exp(by_letters) + 1e-300)
 
 
-def known_scores(words: DataFrame, spelling: Spelling, masses: Masses) -> DataFrame:
+def known_scores(words: DataFrame, letters: Letters, masses: Masses) -> DataFrame:
     """key, score of each counted word: the difference of its log-likelihoods.  ``words``: gram, toxic, ordinary."""
     import pyarrow as pa
 
-    shared = words.sparkSession.sparkContext.broadcast((spelling, masses))
+    shared = words.sparkSession.sparkContext.broadcast((letters, masses))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, masses = shared.value
+        letters, masses = shared.value
         for batch in batches:
             names = [g[1:] for g in batch.column(0).to_pylist()]
-            seen = list(zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            scores = [masses.log_p(t, spelling.log_likelihood(w, 1), 1) - masses.log_p(o, spelling.log_likelihood(w, 0), 0) for w, t, o in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(map(word_key, names), pa.int64()), pa.array(scores, pa.float64())], ["key", "score"])
+            found = letters.log_likelihoods(names)
+            scores = masses.log_p(batch.column(1).to_numpy(), found[:, 1], 1) - masses.log_p(batch.column(2).to_numpy(), found[:, 0], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(word_keys(names), pa.int64()), pa.array(scores, pa.float64())], ["key", "score"])
 
     return words.select("gram", "toxic", "ordinary").mapInArrow(run, "key long, score double")
 
@@ -183,27 +237,26 @@ def known_scores(words: DataFrame, spelling: Spelling, masses: Masses) -> DataFr
 class KneserNey:
     """Differences of log-likelihoods of words."""
 
-    def __init__(self, grams: list[str], spelling: Spelling, masses: Masses, keys, scores):
+    def __init__(self, letters: Letters, masses: Masses, keys, scores):
         """``keys`` and ``scores``: those of all counted words."""
         import numpy as np
 
-        self.order = spelling.order
         order = np.argsort(keys)
-        self.keys, self.scores = np.asarray(keys)[order], np.asarray(scores)[order].round(5)
+        self.letters, self.keys, self.scores = letters, np.asarray(keys)[order], np.asarray(scores)[order]
         self.unknown = float(np.log(masses.left[1]) - np.log(masses.left[0]))
-        self.gram = dict(zip(grams, (spelling.log_p[1] - spelling.log_p[0]).round(5).tolist(), strict=True))
-        backoff = (spelling.log_backoff[1] - spelling.log_backoff[0]).round(5)
-        self.context = {h: float(backoff[i]) for h, i in spelling.of_context.items() if backoff[i]}
         self.memo: dict[str, float] = {}
 
     def words(self, words: list[str]) -> dict[str, float]:
         """The scores of distinct words."""
         import numpy as np
 
-        keys = np.fromiter(map(word_key, words), np.int64, len(words))
+        keys = word_keys(words)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known, scores = (self.keys[at] == keys).tolist(), self.scores[at].tolist()
-        found = {w: s if k else self._by_letters(w) for w, k, s in zip(words, known, scores, strict=True)}
+        scores, new = self.scores[at], np.flatnonzero(self.keys[at] != keys)
+        if len(new):
+            by_letters = self.letters.log_likelihoods([words[i] for i in new])
+            scores[new] = self.unknown + by_letters[:, 1] - by_letters[:, 0]
+        found = dict(zip(words, scores.round(5).tolist(), strict=True))
         for w, s in found.items():
             if len(self.memo) >= MEMO_WORDS:
                 break
@@ -211,10 +264,6 @@ class KneserNey:
                 self.memo[w] = s
         return found
 
-    def _by_letters(self, word: str) -> float:
-        gram, context = self.gram, self.context
-        return self.unknown + sum(gram[g] if g in gram else context.get(g[:-1], 0.0) for g in spelt(word, self.order))
-
     def features(self, text: str) -> tuple[float, float, float]:
         """The largest mean of a window of words, the mean over the text, the logarithm of the number of words."""
         import numpy as np
@@ -261,7 +310,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[KneserNey, list[floa
     import numpy as np
 
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.filter("toxic in (0, 1)").withColumn("fold", fold()).filter(F.col("fold") != HELD_OUT)
+    known = known.filter("toxic in (0, 1)").withColumn("fold", fold(F.col("doc_id"))).filter(F.col("fold") != HELD_OUT)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learn = texts.join(F.broadcast(_bounded(known.filter(F.col("fold") != CALIBRATION), MAX_LABELLED)), "doc_id")
     counts = gram_counts(learn)
@@ -270,48 +319,55 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[KneserNey, list[floa
     rows = counts.filter(~whole).select("gram", "toxic", "ordinary").toArrow().to_pandas().sort_values("gram")
     if not len(rows) or not rows["toxic"].sum() or not rows["ordinary"].sum():
         return None
-    grams, words = rows["gram"].tolist(), counts.filter(whole)
-    spelling, masses = Spelling(grams, rows["toxic"], rows["ordinary"]), Masses(words)
+    words = counts.filter(whole)
+    letters, masses = Letters(Spelling(rows["gram"].tolist(), rows["toxic"], rows["ordinary"])), Masses(words)
     del rows
-    known_words = known_scores(words, spelling, masses).toArrow()
-    model = KneserNey(grams, spelling, masses, known_words["key"].to_numpy(), known_words["score"].to_numpy())
-    del spelling, known_words
+    known_words = known_scores(words, letters, masses).toArrow()
+    model = KneserNey(letters, masses, known_words["key"].to_numpy(), known_words["score"].to_numpy())
+    del known_words
     held = texts.join(F.broadcast(_bounded(known.filter(F.col("fold") == CALIBRATION), MAX_CALIBRATED)), "doc_id")
-    found = _features(held.select("doc_id", "toxic", "text"), model).toArrow().to_pandas()
+    figures = _features(texts.sparkSession, model)
+    found = held.select("toxic", figures("text").alias("f")).select("toxic", "f.*").toArrow().to_pandas()
     if found["toxic"].nunique() < 2:
-        return model, [8.0, 0.0, 0.0, -8.0]
+        return model, list(UNCALIBRATED)
     return model, logistic(np.c_[found["window"], found["mean"], found["log_words"]], found["toxic"])
 
 
-def _features(rows: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, toxic, text) to doc_id, toxic, window, mean, log_words."""
-    import pyarrow as pa
+def _features(spark, model: KneserNey):
+    """A function of a text column: window, mean, log_words.  Only texts leave the JVM; the rows stay."""
+    shared = spark.sparkContext.broadcast(model)
 
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("window double, mean double, log_words double")
+    def figures(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
-        for batch in batches:
-            found = [own.features(t or "") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3))], ["doc_id", "toxic", "window", "mean", "log_words"])
+        return pd.DataFrame([own.features(t or "") for t in texts], columns=["window", "mean", "log_words"], dtype=float)
 
-    return rows.mapInArrow(run, "doc_id long, toxic int, window double, mean double, log_words double")
+    return figures.asNondeterministic()  # so that it is evaluated once however often its fields are used
 
 
-def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, window, mean, log_words."""
-    fitted = train(documents, labels)
-    rows = documents.select(F.col("doc_id").cast("long"), F.lit(0).alias("toxic"), F.col("text").cast("string"))
+ADDED = ["held_out", "score", "predicted", "window", "mean", "log_words"]
+
+
+def _scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """document, and the added columns."""
+    fitted, rows = train(documents, labels), nested(documents)
+    text, doc_id = F.col("document.text").cast("string"), F.col("document.doc_id").cast("long")
     if fitted is None:
-        zero = F.lit(0.0)
-        found = rows.select("doc_id", zero.alias("window"), zero.alias("mean"), zero.alias("log_words"))
-        p = zero
+        p, zero = F.lit(0.0), F.lit(0.0)
+        rows = rows.withColumn("f", F.struct(zero.alias("window"), zero.alias("mean"), zero.alias("log_words")))
     else:
         model, (a, b, c, d) = fitted
-        found = _features(rows, model)
-        z = F.lit(a) * F.col("window") + F.lit(b) * F.col("mean") + F.lit(c) * F.col("log_words") + F.lit(d)
-        p = 1 / (1 + F.exp(-z))
-    out = found.withColumn("score", p)
-    return out.select(
-        "doc_id", (F.coalesce(fold(), F.lit(-1)) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "window", "mean", "log_words"
-    )
+        rows = rows.withColumn("f", _features(documents.sparkSession, model)(text))
+        p = 1 / (1 + F.exp(-(F.lit(a) * F.col("f.window") + F.lit(b) * F.col("f.mean") + F.lit(c) * F.col("f.log_words") + F.lit(d))))
+    rows = rows.select("document", "f", p.alias("score"), (F.coalesce(fold(doc_id), F.lit(-1)) == HELD_OUT).alias("held_out"))
+    return rows.select("document", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "f.*")
+
+
+def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents' columns, and held_out, score, predicted, window, mean, log_words."""
+    return beside(_scored(documents, labels), documents.columns, ADDED)
+
+
+def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic; each row goes by its own text."""
+    return _scored(documents, labels).filter("predicted = 0").select("document.*")
