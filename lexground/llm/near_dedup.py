@@ -20,10 +20,15 @@ linked if their weighted Jaccard similarity is 0.8 or more.
 * Each candidate pair is verified on its whole shingle multisets.
 * Classes are the connected components of the links; a class is named by its least doc_id.
 
+A node is a digest of a text's words, never a doc_id, so rows are judged by their texts alone.  What a join brings to a group
+(a bucket's pivot, a class's name) is written out before, so that the join is one of two plain shuffles and a hot group's
+rows can be split over tasks (AQE does so only there).
+
 With 0.8 similarity a pair shares a bucket with probability 1 - (1 - 0.8**6)**20 = 0.998.
 
 Defined cases: null or word-less texts are copies of each other; under five words, the text is one shingle; rows that
-repeat a doc_id with another text are judged by each text; a null doc_id gets a null class; other columns are ignored; no rows give no rows.
+repeat a doc_id with another text are judged by each text; rows without a doc_id are members like others, of a class named
+by the least doc_id there is (null if there is none); other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ import math
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, nested
 from .tokens import slices
 
 WORDS, SIMILARITY = 5, 0.8
@@ -134,14 +139,20 @@ def band_keys(signatures, rows: int = ROWS):
     return keys.view(np.int64)
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text, row_key: equal for rows of equal doc_id and text only, but for rare collisions, which do no harm."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, words_md5, bands (empty for word-less texts)."""
+    """doc_id, row_key, node, bands (empty for word-less texts)."""
     import pyarrow as pa
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in slices(texts, 3_000_000):
                 found = [shingler.regions(t) for t in texts[a:b]]
                 some = [i for i, (_, r) in enumerate(found) if len(r)]
@@ -149,27 +160,29 @@ def signatures(documents: DataFrame) -> DataFrame:
                 if some:
                     for i, keys in zip(some, band_keys(dart_signatures([found[i][1] for i in some])), strict=True):
                         bands[i] = keys
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([d for d, _ in found], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words_md5", "bands"]
-                )
+                columns = [pa.array([d for d, _ in found], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:2]] + columns, ["doc_id", "row_key", "node", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, words_md5 binary, bands array<long>")
+    return documents.select("doc_id", "row_key", "text").mapInArrow(sign, "doc_id long, row_key long, node binary, bands array<long>")
 
 
 def region_sets(documents: DataFrame) -> DataFrame:
-    """node, regions: the sorted regions as bytes."""
+    """node, regions: the sorted regions as bytes, once for the rows of a task that share a node."""
     import pyarrow as pa
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, seen = Shingler(), set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([t or "" for t in texts], 3_000_000):
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([shingler.regions(t or "")[1].tobytes() for t in texts[a:b]], pa.binary())], ["node", "regions"]
-                )
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in slices(texts, 3_000_000):
+                found = {}
+                for digest, regions in map(shingler.regions, texts[a:b]):
+                    if digest not in seen:
+                        seen.add(digest)
+                        found[digest] = regions.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(found.values(), pa.binary())], ["node", "regions"])
 
-    return documents.select("node", "text").mapInArrow(shingle, "node long, regions binary")
+    return documents.select("text").mapInArrow(shingle, "node binary, regions binary")
 
 
 def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,11 +208,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _paired(pairs, sets).mapInArrow(compare, "a long, b long")
+    return _paired(pairs, sets).mapInArrow(compare, "a binary, b binary")
 
 
 def against_pivots(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """node, pivot, middle (a digest of the pivot's regions, as a doc_id may have several texts), linked, size (regions of the
+    """node, pivot, middle (a number of the pivot), linked, size (regions of the
     node), apart (regions of one of the two only), for the pairs (node, pivot)."""
     import pyarrow as pa
 
@@ -220,7 +233,7 @@ def against_pivots(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["node", "pivot", "middle", "linked", "size", "apart"])
 
     found = _paired(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
-    return found.mapInArrow(compare, "node long, pivot long, middle long, linked boolean, size long, apart array<long>")
+    return found.mapInArrow(compare, "node binary, pivot binary, middle long, linked boolean, size long, apart array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,13 +263,13 @@ def across(compared: DataFrame, labels: DataFrame, similarity: float) -> DataFra
     # the least that a partner brings: a pair of x and m must share half its excesses' sum
     rows = rows.drop("pivot", "pivot_class", "linked").withColumn("text", F.xxhash64("apart"))
     least = rows.groupBy("middle").agg(F.min("excess").alias("any_least"), F.min(F.when(F.col("outside"), F.col("excess"))).alias("outside_least"))
-    rows = rows.join(least.filter("outside_least is not null"), "middle")
+    rows = rows.join(cut(least.filter("outside_least is not null")), "middle")
     parts = cut(rows.withColumn("region", F.explode("apart")).drop("apart"))
-    common = parts.groupBy("middle", "region").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    common = cut(parts.groupBy("middle", "region").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     ordered = (
         parts.join(common, ["middle", "region"])
         .groupBy("middle", "node", "text").agg(
-            F.sort_array(F.collect_list(F.struct("members", "region"))).alias("by_rareness"),
+            F.sort_array(F.collect_set(F.struct("members", "region"))).alias("by_rareness"),
             *(F.first(c).alias(c) for c in ("class_id", "size", "outside", "excess", "any_least", "outside_least")),
         )
     )
@@ -280,13 +293,14 @@ def across(compared: DataFrame, labels: DataFrame, similarity: float) -> DataFra
 
 
 def linked_classes(bands: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
-    """node, class_id of the nodes that have links, by the (node, band) rows.  ``sets_of``: from nodes to their region sets."""
-    crowd = bands.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    """node, class_id (a node) of the nodes that have links, by the distinct (node, band) rows.  ``sets_of``: from nodes to
+    their region sets."""
+    crowd = cut(bands.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"))
     rows = cut(bands.join(crowd, "band"))
     reach = rows.groupBy("node").agg(F.sum("crowd").alias("reach"))
     rows = rows.join(reach, "node")
-    middle = rows.groupBy("band").agg(F.max(F.struct("reach", (-F.col("node")).alias("least")))["least"].alias("least"))
-    pairs = cut(rows.join(middle, "band").select("node", (-F.col("least")).alias("pivot")).distinct())
+    middle = cut(rows.groupBy("band").agg(F.min(F.struct((-F.col("reach")).alias("reach"), "node"))["node"].alias("pivot")))
+    pairs = cut(rows.select("node", "band").join(middle, "band").select("node", "pivot").distinct())
     sets = cut(sets_of(pairs.select("node").distinct()))
     compared = cut(against_pivots(pairs.filter("node <> pivot"), sets, similarity))
     labels = cut(components(compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
@@ -299,27 +313,37 @@ def linked_classes(bands: DataFrame, sets_of, similarity: float = SIMILARITY) ->
     return known.join(joined, "class_id", "left").select("node", F.coalesce("joined", "class_id").alias("class_id"))
 
 
-def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class): one row per input row."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _named(documents: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, row_key, first (no_id, doc_id, row_key of the first row of its class): one row per input row."""
+    docs = keyed(documents)
     signed = cut(signatures(docs))
-    # only the digests of copies are joined back, written out before, so that a large group of copies can be split over tasks
-    firsts = signed.groupBy("words_md5").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    firsts = cut(firsts.filter("n > 1").select("words_md5", "node"))
-    signed = signed.join(firsts, "words_md5", "left").withColumn("node", F.coalesce("node", "doc_id"))
-    signed = cut(signed.select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")))
-    bands = signed.filter("bands is not null").select("node", F.explode("bands").alias("band")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    nodes = cut(signed.groupBy("node").agg(F.min(order).alias("first"), F.first("bands").alias("bands")))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        rows = nodes.join(wanted, "node", "left_semi").select(F.col("first.row_key").alias("row_key"))
+        return region_sets(docs.join(rows, "row_key", "left_semi"))
+
+    found = cut(linked_classes(nodes.select("node", F.explode("bands").alias("band")), sets_of, similarity))
+    linked = nodes.select("node", "first").join(found, "node")
+    least = cut(linked.groupBy("class_id").agg(F.min("first").alias("class_first")))
+    linked = linked.join(least, "class_id").select("node", "class_first")
+    firsts = cut(nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("class_first", "first").alias("first")))
+    return signed.select("doc_id", "row_key", "node").join(firsts, "node").select("doc_id", "row_key", "first")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        texts = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
-        return region_sets(texts)
 
-    found = linked_classes(bands, sets_of, similarity)
-    named = signed.join(found, "node", "left").select("doc_id", "node", F.coalesce("class_id", "node").alias("class_id"))
-    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class): one row per input row."""
+    return _named(documents, similarity).select("doc_id", F.col("first.doc_id").alias("class_id"))
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of one document of each class, the one of the least doc_id, whole; rows that repeat it count once."""
-    stay = classes(documents, similarity).filter("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    return documents.join(stay, documents["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    """One row of each class, whole: of the least doc_id, of its texts one by a hash, and of rows that repeat both any one."""
+    named = _named(documents, similarity).filter(F.col("row_key") == F.col("first.row_key"))
+    stay = cut(named.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")))
+    key = F.xxhash64(F.col("document.doc_id").cast("long"), F.col("document.text").cast("string"))
+    rows = nested(documents).withColumn("row_key", key).join(stay.select("row_key"), "row_key", "left_semi")
+    if not stay.filter("n > 1").isEmpty():  # rows of equal doc_id and text: one of them
+        order = Window.partitionBy("row_key").orderBy(F.xxhash64("document"))
+        rows = rows.withColumn("n", F.row_number().over(order)).filter("n = 1")
+    return rows.select("document.*")
