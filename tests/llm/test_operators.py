@@ -155,10 +155,23 @@ def test_near_dedup(spark, docs):
             elif a // 10 != b // 10:
                 assert got[a] != got[b]
     kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id in (2, 3)").count() == 1
+    assert kept.columns == docs.columns and kept.filter("doc_id in (2, 3)").count() == 1 and kept.filter("doc_id = 4").count() == 1
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_goes_by_rows(spark):
+    """Null and repeated doc_ids, clashing names, and copies of them."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (None, a), (None, c), (None, c.upper()), (5, b + "."), (7, ""), (8, None), (9, "..."), (2, b)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "row_key": F.lit("k"), "n": F.lit(2), "document": F.lit("d"), "first": F.lit("f")})
+    got = sorted(str((r["doc_id"], r["class_id"])) for r in near_dedup.classes(d).collect())
+    assert got == sorted(map(str, [(1, 1), (1, 1), (None, 1), (None, None), (None, None), (5, 1), (7, 7), (8, 7), (9, 7), (2, 1)]))
+    kept = near_dedup.keep_one(d)
+    assert kept.columns == d.columns
+    words = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept.collect())
+    assert words == sorted([("1", a), ("1", b), ("7", ""), ("None", c)])
+
+
 def test_near_dedup_loses_no_link(spark):
     """A crowd of copies around one text, many under the similarity to its middle: the classes are those of brute force."""
     rng = random.Random(8)
@@ -285,6 +298,74 @@ def test_repeated_words():
         assert quality.repeated_words(words) == want
 
 
+def test_quality_measures(spark):
+    """Every measure against its definition, and each row by its own text."""
+    import re
+
+    import sentencepiece
+    from lexground.llm.tokens import PIECE_VOCABULARY, vocabulary
+
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECE_VOCABULARY))
+    rng = random.Random(7)
+    texts = [None, "", " \n\t ", "a b\n a b\na b\n\n", "#*$%&|<>", "w " * 5000]
+    texts += ["".join(rng.choices(["ab", "c", "#", " ", "  ", "\n", "\r\n", "\x0b", "é", "日", "😀", "the ", "|", "\u00a0"], k=rng.randint(0, 200))) for _ in range(150)]
+    texts += [" ".join(rng.choices(["red", "blue", "one"], k=rng.randint(5, 60))) for _ in range(50)]
+    d = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "kept": F.lit("k"), "band": F.lit(1), "m": F.lit(2), "n": F.col("text")})
+    got = {}
+    for r in quality.judge(d).collect():
+        got.setdefault((r["doc_id"], r["n"]), r)
+    for i, t in enumerate(texts):
+        r, text = got[i // 2, t], t or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        windows = [tuple(words[j : j + 5]) for j in range(len(words) - 4)]
+        counts = {w: windows.count(w) for w in set(windows)} if len(words) < 1000 else {w: 2 for w in windows}
+        repeated = len({j for k, w in enumerate(windows) if counts[w] > 1 for j in range(k, k + 5)})
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeated), text
+        assert r["base_failed"] == (len(words) < 10 or 100 * repeated > 20 * len(words))
+        ids = [j for w in words for j in model.encode(w)]
+        assert r["n_tokens"] == len(ids) and abs(r["chars_per_token"] - sum(map(len, words)) / max(1, len(ids))) < 1e-9
+        if len(ids) > 1:
+            p = np.unique(ids, return_counts=True)[1] / len(ids)
+            assert abs(r["entropy"] + (p * np.log(p)).sum() / np.log(len(ids))) < 1e-9
+            assert abs(r["byte_share"] - np.mean([model.is_byte(j) for j in ids])) < 1e-9
+    kept = quality.keep(d)
+    assert kept.columns == d.columns and quality.keep(d.limit(0)).count() == 0
+    wanted = sorted(r["n"] for r in quality.judge(d).filter("kept").collect())
+    assert sorted(r["text"] for r in kept.collect()) == wanted and wanted and kept.filter("kept <> 'k' or band <> 1").count() == 0
+
+
+def test_quality_verdict(spark):
+    """The verdict against its definition in plain Python, with exact quartiles and their leaning on wider groups."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(400)]
+    rows = [(i, rng.choice(("x", "y", None)), " ".join(rng.choices(words, k=rng.choice((12, 30, 80, 300))) if rng.random() < 0.95 else [chr(rng.randint(0x1F300, 0x1F400)) + chr(rng.randint(0x1F300, 0x1F400)) for _ in range(30)])) for i in range(400)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).toPandas()
+    got["lang"] = [r[1] or "" for r in (rows[i] for i in got.doc_id)]
+    got["cls"] = np.floor(2 * np.log2(np.maximum(got.n_tokens, 1))).astype(int)
+    passing = got[~got.base_failed]
+    for r in got.itertuples():
+        sides, middle = {}, {}
+        for m in quality.METRICS:
+            sides[m], middle[m] = [quality.UNSURE[m]] * 2, None
+            for w in reversed(quality.WIDTHS):
+                group = passing[(passing.lang == r.lang) & (passing.cls // w == r.cls // w)][m].round(4)
+                if len(group):
+                    q, n = np.quantile(group, [0.25, 0.5, 0.75]), len(group)
+                    middle[m] = q[1] if middle[m] is None else (n * q[1] + 20 * middle[m]) / (n + 20)
+                    sides[m] = [(n * own + 20 * s) / (n + 20) for own, s in zip((q[1] - q[0], q[2] - q[1]), sides[m], strict=True)]
+        if r.base_failed:
+            assert not r.kept
+            continue
+        off = lambda m, i: (getattr(r, m) - middle[m]) / max(sides[m][i], quality.LEAST[m])  # noqa: B023, E731
+        below = off("chars_per_token", 0) + off("entropy", 0)
+        assert abs(below - r.below) < 1e-6
+        over = off("byte_share", 1) > quality.REACH and r.byte_share - middle["byte_share"] > quality.LEAST_BYTES
+        assert r.kept == (not (below < -quality.REACH or over or r.entropy * np.log(r.n_tokens) < quality.LEAST_NATS))
+    assert 0 < got.kept.sum() < (~got.base_failed).sum()
+
+
 def test_quality(spark, docs):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert got[2]["n_words"] == 0 and not got[2]["kept"] and got[6]["kept"] and got[1]["base_failed"]
@@ -323,6 +404,75 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
 
 
+def test_toxicity_against_naive_kneser_ney(spark):
+    """Word scores from the definition: class counts first, then the spelling, then continuation counts of both classes."""
+    from collections import Counter
+    from math import log
+    from zlib import crc32
+
+    rng, order = random.Random(5), toxicity.ORDER
+    pool = ["".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(60)]
+    texts = {i: " ".join(rng.choices(pool, k=rng.randint(1, 25))) for i in range(80)}
+    toxic = {i: int(rng.random() < 0.4) for i in texts}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model, _ = toxicity.train(d, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    words = {k: Counter(w for i, t in texts.items() if toxic[i] == k and crc32(str(i).encode()) % 5 in (1, 2, 3) for w in t.split()) for k in (0, 1)}
+    grams = {k: Counter() for k in (0, 1)}
+    for k, counts in words.items():
+        for w, n in counts.items():
+            for g in toxicity.spelt(w):
+                grams[k][g] += n
+    levels = {order - 1: Counter(g[1:] for g in set(grams[0] + grams[1]))}
+    for m in range(order - 2, -1, -1):
+        levels[m] = Counter(g[1:] for g in levels[m + 1])
+
+    def discount(counts):
+        n1, n2 = (sum(c == n for c in counts.values()) for n in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def lower(g):
+        if not g:
+            return 1 / (len(levels[1]) + 1)
+        counts = levels[len(g)]
+        after = {h: c for h, c in counts.items() if h[:-1] == g[:-1]}
+        return (max(counts[g] - discount(counts), 0) + discount(counts) * len(after) * lower(g[1:])) / sum(after.values())
+
+    def spelling(w, k):
+        p = 1.0
+        for g in toxicity.spelt(w):
+            below = lower(g[1:]) if g[1:] in levels[order - 1] else toxicity.UNMET
+            after = {h: c for h, c in grams[k].items() if h[:-1] == g[:-1]}
+            n = sum(after.values())
+            p *= below if not n else max(grams[k][g] - discount(grams[k]), 0) / n + discount(grams[k]) * len(after) / n * below
+        return p
+
+    def likelihood(w, k):
+        n, spread = sum(words[k].values()), discount(words[k])
+        return log(max(words[k][w] - spread, 0) / n + spread * len(words[k]) / n * spelling(w, k))
+
+    asked = [*pool, "abba", "dddd", "xyz", "ab1"]
+    got = model.words(list(dict.fromkeys(asked)))
+    for w in asked:
+        assert abs(got[w] - (likelihood(w, 1) - likelihood(w, 0))) < 1e-4, w
+
+
+def test_toxicity_goes_by_rows(spark):
+    """Repeated and null doc_ids, clashing names: each row by its own text, and the rows kept come back as they were."""
+    rng = random.Random(4)
+    plain = [f"plain{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(plain, k=27 if i % 3 == 0 else 30) + (["vilest"] * 3 if i % 3 == 0 else []))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    good, bad = " ".join(plain[:30]), "vilest vilest vilest " + " ".join(plain[:27])
+    rows += [(1000, good), (1000, bad), (None, bad), (None, good), (1001, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("s"), "f": F.lit(1), "predicted": F.lit(7), "toxic": F.lit("t")})
+    kept = toxicity.keep(d, labels)
+    got = sorted((str(r["doc_id"]), r["text"], r["score"], r["f"], r["predicted"]) for r in kept.filter("doc_id is null or doc_id >= 1000").collect())
+    assert kept.columns == d.columns and got == sorted([("1000", good, "s", 1, 7), ("None", good, "s", 1, 7), ("1001", None, "s", 1, 7)], key=str)
+    scored = toxicity.score(d, labels)
+    assert scored.columns == ["doc_id", "text", "f", "toxic", *toxicity.ADDED] and not scored.filter("doc_id is null and held_out").count()
+    assert toxicity.keep(d.limit(0), labels).count() == 0
+
+
 def test_toxicity_counts_every_word(spark):
     """Over 100,000 words and 300,000 character sequences, nearly all seen once: each counts, and has a score of its own."""
     from collections import Counter
@@ -336,7 +486,8 @@ def test_toxicity_counts_every_word(spark):
     learnt = [i for i in texts if crc32(str(i).encode()) % 5 in (1, 2, 3)]
     words = Counter(w for i in learnt for w in texts[i])
     assert len(words) > 100_000 and sorted(model.keys.tolist()) == sorted(map(toxicity.word_key, words))
-    assert set(model.gram) == {g for w in words for g in toxicity.spelt(w)} and len(model.gram) > 300_000
+    grams = {g for w in words for g in toxicity.spelt(w)}
+    assert model.letters.grams.keys.tolist() == sorted(map(toxicity.word_key, grams)) and len(grams) > 300_000
     last = {k: max(f"zz{i}" for i in learnt if (i % 3 == 0) == k) for k in (True, False)}
     found = model.words(list(last.values()))
     assert found[last[True]] > 0 > found[last[False]]
