@@ -1,29 +1,27 @@
-"""The corpus pipeline: toxicity, quality rules, near-dedup, mixing, packing; each stage works on what the one before kept."""
+"""The corpus pipeline: toxicity, quality rules, near-dedup, mixing, packing; each stage works on what the one before kept.
+
+Every stage but the last returns its input's columns, whatever they are called.  A row is judged by its own text: rows that
+repeat a doc_id, or have none, are rows like others.  Null text is empty text, which the quality rules reject; of near
+duplicates one row stays; no rows give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexground.llm import mixing, near_dedup, packing, quality, toxicity
-from lexground.llm.common import checkpoint_dir, table
+from lexground.llm.common import checkpoint_dir, removed, table
 
 #: SQL can't express the trained scores, tokenizers and packing of these stages; tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not rejected, whole; null doc_ids stay."""
-    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.filter("predicted = 1").select("doc_id"))
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.judge(docs).filter("not kept").select("doc_id"))
+    return quality.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.replicate(docs).select(*docs.columns)
+    return mixing.replicate(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +46,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again by the next."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again by the next, and deleted
+    once that has written its own."""
     from uuid import uuid4
 
     docs, place = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
+        if k:
+            removed(spark, f"{place}/{k - 1}")
         docs = spark.read.parquet(f"{place}/{k}")
     return docs
