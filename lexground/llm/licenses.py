@@ -3,13 +3,15 @@
 Paragraphs are lines, and runs of several lines between blank ones (or ones without letters and digits), so that a
 hard-wrapped notice is met whole; a run counts only for a family that none of its own lines is confirmed for.  Features
 are the distinct word uni-, bi- and trigrams that hold a cue word; a multinomial logistic regression, trained here on templates of licence notices, their variations and sentences that only sound alike,
-gives a probability to each licence family and to "unknown".  A temperature fitted on held-out variations calibrates the
-probabilities; a family needs ``SURE`` and more than unknown.  The prediction is confirmed if the paragraph holds enough of
+gives a probability to each licence family and to "unknown".  A temperature calibrates the probabilities: it is fitted on
+templates and sentences that a first model has never seen in any variation (each third one), and the model used is then
+trained on all; a family needs ``SURE`` and more than unknown.  The prediction is confirmed if the paragraph holds enough of
 the trigrams of one of the family's templates.  A line that is the title of a licence and nothing else has too few words for
 that; it is known by the whole title.
 
 Paragraphs without a cue word have no features, so leaving them out changes nothing: their class is unknown.  Equal
-paragraphs are scored once.
+paragraphs are scored together, ``SHARES`` times at most: each is dealt to a share by its place, so that a notice that a third of
+all documents hold is no single key.
 
 Defined cases: null text has no paragraphs; empty lines count as paragraphs and are unknown; rows that repeat a doc_id are
 one document for what is found and stay rows of their own; null doc_id finds nothing; other columns are ignored; no rows
@@ -25,6 +27,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SURE, CONFIRMED, UNKNOWN = 0.6, 0.5, "unknown"
 #: Words one of which a feature holds (fixed values).
 CUES = "licence licences licenced license licenses licensed licensing licensor sublicense copyright copyrighted copyleft permission permissions warranty warranties redistribution redistribute redistributions gpl gplv2 gplv3 lgpl agpl spdx mpl bsd mit apache mozilla creative commons cc cc0 unlicense reserved proprietary domain attribution noncommercial sharealike".split()
@@ -104,42 +108,60 @@ def _variations(rng: random.Random, text: str, n: int):
         yield " ".join([*before, *words, *after])
 
 
-@cache
-def model() -> tuple[list[str], dict[str, list[float]], list[float], float]:
-    """Families (unknown first), weights by feature, constants, temperature."""
-    import numpy as np
-
+def examples() -> list[tuple[str, int, int]]:
+    """Text, family (0: unknown), number of the template or sentence it varies."""
     rng, names = random.Random(7), [UNKNOWN, *TEMPLATES]
-    examples = [(v, names.index(f), rng.random() < 0.25) for f, texts in TEMPLATES.items() for t in texts for v in _variations(rng, t, 24)]
-    examples += [(v, 0, rng.random() < 0.25) for t in OTHERS for v in _variations(rng, t, 12)]
+    texts = [(t, names.index(f), 24) for f, own in TEMPLATES.items() for t in own] + [(t, 0, 12) for t in OTHERS]
+    out = [(v, k, i) for i, (t, k, n) in enumerate(texts) for v in _variations(rng, t, n)]
     # cue words alone, so that one of them never suffices
-    examples += [(" ".join(rng.choices(CUES, k=rng.choice((1, 1, 2)))), 0, rng.random() < 0.25) for _ in range(400)]
-    vocabulary = sorted({g for t, _, _ in examples for g in features_of(t)})
-    at = {g: i for i, g in enumerate(vocabulary)}
-    x, y = np.zeros((len(examples), len(vocabulary))), np.array([k for _, k, _ in examples])
-    for i, (t, _, _) in enumerate(examples):
+    return out + [(" ".join(rng.choices(CUES, k=rng.choice((1, 1, 2)))), 0, len(texts) + i) for i in range(400)]
+
+
+def fit(rows: list[tuple[str, int, int]]):
+    """Weights by feature, and constants, of a multinomial logistic regression."""
+    import numpy as np
+
+    vocabulary = sorted({g for t, _, _ in rows for g in features_of(t)})
+    at, n = {g: i for i, g in enumerate(vocabulary)}, len(TEMPLATES) + 1
+    x, target = np.zeros((len(rows), len(vocabulary))), np.eye(n)[[k for _, k, _ in rows]]
+    for i, (t, _, _) in enumerate(rows):
         x[i, [at[g] for g in features_of(t)]] = 1
-    held = np.array([h for _, _, h in examples])
-    target = np.eye(len(names))[y]
-    w, b = np.zeros((len(vocabulary), len(names))), np.zeros(len(names))
-    rate, momentum_w, momentum_b = 1.0, np.zeros_like(w), np.zeros_like(b)
-    fit_x, fit_t = x[~held], target[~held]
+    w, b = np.zeros((len(vocabulary), n)), np.zeros(n)
+    momentum_w, momentum_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(250):
-        z = fit_x @ w + b
+        z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        momentum_w = 0.9 * momentum_w + fit_x.T @ (fit_t - p) / len(fit_t) - 1e-4 * w
-        momentum_b = 0.9 * momentum_b + (fit_t - p).mean(axis=0)
-        w, b = w + rate * momentum_w, b + rate * momentum_b
+        momentum_w = 0.9 * momentum_w + x.T @ (target - p) / len(rows) - 1e-4 * w
+        momentum_b = 0.9 * momentum_b + (target - p).mean(axis=0)
+        w, b = w + momentum_w, b + momentum_b
+    return {g: w[i] for g, i in at.items()}, b
+
+
+def logits(texts: list[str], weights: dict, constants):
+    import numpy as np
+
+    return np.array([constants + sum((weights[g] for g in features_of(t) if g in weights), np.zeros(len(constants))) for t in texts])
+
+
+@cache
+def model() -> tuple[list[str], dict[str, list[float]], list[float], float]:
+    """Families (unknown first), weights by feature, constants, temperature."""
+    import numpy as np
+
+    rows = examples()
+    held = [r for r in rows if r[2] % 3 == 1]
+    first = logits([r[0] for r in held], *fit([r for r in rows if r[2] % 3 != 1]))
 
     def loss(temperature: float) -> float:
-        z = (x[held] @ w + b) / temperature
-        z -= z.max(axis=1, keepdims=True)
-        return float(-(z[np.arange(held.sum()), y[held]] - np.log(np.exp(z).sum(axis=1))).mean())
+        z = first / temperature
+        z = z - z.max(axis=1, keepdims=True)
+        return float(-(z[np.arange(len(held)), [r[1] for r in held]] - np.log(np.exp(z).sum(axis=1))).mean())
 
     temperature = min((0.25 * 1.1**i for i in range(40)), key=loss)
-    weights = {g: [round(v, 5) for v in w[i].tolist()] for g, i in at.items() if np.abs(w[i]).max() > 1e-4}
-    return names, weights, [round(v, 5) for v in b.tolist()], round(float(temperature), 5)
+    weights, b = fit(rows)
+    kept = {g: [round(v, 5) for v in w.tolist()] for g, w in weights.items() if np.abs(w).max() > 1e-4}
+    return [UNKNOWN, *TEMPLATES], kept, [round(v, 5) for v in b.tolist()], round(float(temperature), 5)
 
 
 @cache
@@ -164,13 +186,15 @@ def gram_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, weights array<double>, templates array<int>")
 
 
+#: Shares that equal paragraphs are dealt to.
+SHARES = 64
 #: A line's place is its run's number times this and its number in the run, in the order of the text.
 RUN = 1 << 32
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, run, par, line, line_key, of_run: the lines and the runs of several lines that hold a cue word, ``par`` in the
-    order of the text; a run has the place of its first line."""
+    """doc_id, run, par, line, line_key (of equal lines of a share), of_run: the lines and the runs of several lines that hold a
+    cue word, ``par`` in the order of the text; a run has the place of its first line."""
     cue = r"(?<![\p{L}\p{N}])(?:" + "|".join(CUES) + r")(?![\p{L}\p{N}])"
     runs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.regexp_replace("text", r"(?dm)^[^\p{L}\p{N}\n]+$", ""), "\n\n")).alias("run", "whole"))
     runs = runs.filter(F.lower("whole").rlike(cue))
@@ -178,7 +202,8 @@ def candidates(documents: DataFrame) -> DataFrame:
     parts = F.transform(F.split("whole", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.lit(False).alias("of_run")))
     parts = F.concat(F.filter(parts, lambda x: F.lower(x["line"]).rlike(cue)), F.when(F.contains(whole, F.lit("\n")), F.array(F.struct(F.lit(0).alias("i"), whole.alias("line"), F.lit(True).alias("of_run")))).otherwise(F.filter(parts, lambda x: F.lit(False))))
     rows = runs.select("doc_id", "run", F.explode(parts).alias("p"))
-    return rows.select("doc_id", "run", (F.col("run") * F.lit(RUN) + F.col("p.i")).alias("par"), "p.line", F.md5(F.col("p.line").cast("binary")).alias("line_key"), "p.of_run")
+    rows = rows.select("doc_id", "run", (F.col("run") * F.lit(RUN) + F.col("p.i")).alias("par"), "p.line", "p.of_run")
+    return rows.withColumn("line_key", F.concat_ws(":", F.md5(F.col("line").cast("binary")), F.pmod(F.xxhash64("doc_id", "par"), F.lit(SHARES))))
 
 
 def title_family(words):
@@ -220,7 +245,7 @@ def score_lines(lines: DataFrame) -> DataFrame:
 
 def scan_paragraphs(documents: DataFrame) -> DataFrame:
     """doc_id, run, par, line, of_run, family, probability, containment, confirmed of each line, and run of lines, with a cue word."""
-    found = candidates(documents)
+    found = cut(candidates(documents))  # read twice
     distinct = found.groupBy("line_key").agg(F.min("line").alias("line"))
     return found.join(score_lines(distinct), "line_key").select("doc_id", "run", "par", "line", "of_run", "family", "probability", "containment", "confirmed")
 
