@@ -17,6 +17,11 @@ class Config:
     supported_threshold: float = 0.65
     uncertain_threshold: float = 0.40
     store_path: str = "index"
+    most_hits: int = 10
+
+    def __post_init__(self):
+        if not 1 <= self.top_k <= self.most_hits:
+            raise ValueError(f"top_k is {self.top_k}, not from 1 to {self.most_hits}")
 
 
 def load_config(path: str) -> Config:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
+#: Reference patterns (fixed values).
 ARTICLE, SECTION, PART = r"(?i)(?:Article|Art\.?)\s+(\d+[A-Z]?)", r"(?i)(?:Section|Sec\.?)\s+(\d+[A-Z]?)", r"(?i)Part\s+([IVX]+[A-Z]?)"
 CASE = r"([A-Za-z\s]+?)\s+(?:v\.|vs\.?)\s+([A-Za-z\s]+?)(?:\s+\(|,|\n)"
 #: Concept keywords (fixed values).

@@ -39,14 +39,19 @@ def _chain(c: Column | str, *steps: tuple[str, str]) -> Column:
     return c
 
 
+#: Patterns of page marks, line ends, blanks and page numbers, and of footers, in the order they are applied (fixed values).
+RAW_STEPS = ((r"\[PAGE_\d+\]", ""), (r"-\n", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?md)^\s*\d+\s*$", ""))
+FOOTER_STEPS = ((r"(?md)\n\s*\d{1,3}\s*$", ""), (r"\[\d+\]", ""), (r"\*{3,}", ""))
+
+
 def clean_raw_text(c: Column | str) -> Column:
     """Page marks, hyphenated line ends, runs of blanks and empty lines, lines of a number alone."""
-    return strip(_chain(c, (r"\[PAGE_\d+\]", ""), (r"-\n", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?md)^\s*\d+\s*$", "")))
+    return strip(_chain(c, *RAW_STEPS))
 
 
 def remove_footers(c: Column | str) -> Column:
     """Page numbers, bracketed note numbers, runs of stars."""
-    return _chain(c, (r"(?md)\n\s*\d{1,3}\s*$", ""), (r"\[\d+\]", ""), (r"\*{3,}", ""))
+    return _chain(c, *FOOTER_STEPS)
 
 
 def clean_text(c: Column | str) -> Column:

@@ -14,18 +14,21 @@ def _double(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_double(a), _double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(v: Column | str) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(F.aggregate(_double(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
 def normalise(v: Column | str) -> Column:
-    v = _double(v)
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return bind(_double(v), lambda v: bind(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
@@ -41,8 +44,8 @@ def word_dimensions(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
 
 def hashed_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
     """Words per dimension (not scaled)."""
-    dims = word_dimensions(text, dimensions)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(dims, lambda x: x == d)).cast("double"))
+    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    return bind(word_dimensions(text, dimensions), lambda dims: F.transform(every, lambda d: F.size(F.filter(dims, lambda x: x == d)).cast("double")))
 
 
 def sparse_cosine(dims: Column, dense: Column, dense_norm: Column) -> Column:

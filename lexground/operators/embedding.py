@@ -25,7 +25,7 @@ def embed(rows: DataFrame, keys: list[str], text: str = "content", model: Callab
             found: list = []
             for i in range(0, len(b), batch):
                 found += model(b["t"].iloc[i : i + batch].tolist())
-            yield b.assign(embedding=found)
+            yield b.assign(embedding=[[0.0] * len(v) if not t.strip() else v for t, v in zip(b["t"], found, strict=True)])
 
     embedded = texts.mapInPandas(run, "t string, embedding array<double>").withColumn("embedding", normalise("embedding").cast("array<float>"))
     return rows.select(*keys, cut.alias("t")).join(embedded, "t").drop("t")
@@ -38,7 +38,18 @@ def embed_one(spark, text: str, **options) -> list[float]:
     return embed(spark.createDataFrame([(0, text)], "id int, content string"), ["id"], **options).first()["embedding"]
 
 
-def mean_pool(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
-    """keys and the mean vector of each group, summed per dimension with partial aggregation."""
+def dimension(spark, **options) -> int:
+    """The number of components that an embedder's vectors have."""
+    return len(embed_one(spark, "test", **options))
+
+
+def mean_pool(rows: DataFrame, keys: list[str], vector: str = "embedding", mask: str | None = None) -> DataFrame:
+    """keys and the mean vector of each group, summed per dimension with partial aggregation.  Rows whose ``mask`` is null or 0
+    (padding) don't count; a group of none but those has a zero vector."""
+    if mask is not None:
+        seen = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+        per = rows.select(*keys, seen.alias("m"), F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim")
+        per = per.agg(F.coalesce(F.try_divide(F.sum(F.col("x").cast("double") * F.col("m")), F.sum("m")), F.lit(0.0)).alias("x"))
+        return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("embedding"))
     per = rows.select(*keys, F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("embedding"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 REFUSAL = "The provided context does not contain sufficient information."
-#: Fixed value.
+#: Fixed value; its lines are written without indentation.
 PROMPT = (
     "You are a legal assistant answering questions about Indian law.\n\nContext from legal documents:\n%s\n\nQuestion: %s\n\n"
     "Answer based on the provided context and also explain a little based on the provided context. "
@@ -36,3 +36,12 @@ def generate(rows: DataFrame, model: Callable[[str], str] | None = None) -> Data
         return rows.withColumn("answer", extractive_answer(F.col("context")))
     schema = rows.schema.simpleString()[7:-1].replace(":", " ") + ", answer string"
     return rows.mapInPandas(lambda batches: (b.assign(answer=[model(p) for p in b["prompt"]]) for b in batches), schema)
+
+
+def generate_with_metadata(rows: DataFrame, hits: DataFrame, model: Callable[[str], str] | None = None) -> DataFrame:
+    """query_id, query, answer, context_used, retrieval_metadata (article, score, source of each hit, in rank order).
+    ``hits``: query_id, rank, article, final_score, source."""
+    item = F.struct("rank", F.struct("article", F.col("final_score").alias("score"), "source").alias("m"))
+    told = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["m"]).alias("retrieval_metadata"))
+    answers = generate(rows.select("query_id", "query", "context"), model)
+    return answers.join(told, "query_id", "left").select("query_id", "query", "answer", F.col("context").alias("context_used"), "retrieval_metadata")

@@ -73,32 +73,44 @@ def neighbours(edge_table: DataFrame, seeds: DataFrame, depth: int = 1) -> DataF
     seen = None
     for _ in range(depth + 1):
         front = front.join(links, front["entity"] == links["src"]).select("seed", F.col("dst").alias("entity")).distinct()
+        if seen is not None:  # a node's own neighbours are looked up once for a seed
+            front = front.join(seen, ["seed", "entity"], "left_anti")
         seen = front if seen is None else seen.union(front)
-    return seen.distinct()
+    return seen
 
 
 def directed_distances(edge_table: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
-    """seed, entity, graph_distance: directed hops, infinite where no path (of up to ``most``, if given) leads there."""
-    links = edge_table.select("src", "dst").distinct()
-    reached = pairs.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("d"))
-    hop = 0
+    """seed, entity, graph_distance: directed hops, infinite where no path (of up to ``most``, if given) leads there.
+
+    Only a hop's new nodes are joined with the edges; every hop is written out, and an empty one ends the search."""
+    links = edge_table.select("src", "dst").distinct().checkpoint()
+    front = pairs.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("d")).checkpoint()
+    reached, hop = front, 0
     while most is None or hop < most:
         hop += 1
-        new = reached.filter(F.col("d") == hop - 1).join(links, F.col("node") == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        new = new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("d", F.lit(hop))
-        reached = reached.union(new).checkpoint() if hop % 2 == 0 else reached.union(new)
-        if hop % 2 == 0 and reached.filter(F.col("d") == hop).isEmpty():
+        new = front.join(links, front["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        front = new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("d", F.lit(hop)).checkpoint()
+        if front.isEmpty():
             break
+        reached = reached.union(front)
     found = reached.select("seed", F.col("node").alias("entity"), F.col("d").cast("double").alias("d"))
     return pairs.join(found, ["seed", "entity"], "left").select("seed", "entity", F.coalesce("d", F.lit(float("inf"))).alias("graph_distance"))
 
 
+def stats_report(stats: DataFrame) -> DataFrame:
+    """line: the statistics as lines to print."""
+    types = ("article", "section", "part", "case", "concept")
+    lines = [F.concat(F.lit("Nodes: "), "nodes"), F.concat(F.lit("Edges: "), "edges"), *[F.concat(F.lit(f"  {t}: "), f"{t}_nodes") for t in types]]
+    lines += [F.concat(F.lit("Relationship types: "), "relationship_types"), F.concat(F.lit("Average degree: "), F.format_number("avg_degree", 2))]
+    return stats.select(F.explode(F.array(*lines)).alias("line"))
+
+
 def graph_search(edge_table: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 1, top_k: int = 5) -> DataFrame:
     """query_id, entity, chunk_id, graph_distance.  ``seeds``: query_id, seed, seed_rank; ``links``: entity, chunk_id.
 
     Articles near the seeds; the first seed that reaches one sets its distance; the top_k nearest keep their chunks."""
     distinct = seeds.select("seed").distinct()
-    near = neighbours(edge_table, distinct, depth).filter(F.col("entity").startswith("Article_"))
+    near = neighbours(edge_table, distinct, depth).filter(F.col("entity").startswith("Article_")).checkpoint()
     far = directed_distances(edge_table, near)
     first = Window.partitionBy("query_id", "entity").orderBy("seed_rank")
     hits = seeds.join(far, "seed").withColumn("r", F.row_number().over(first)).filter("r = 1")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
-from ..functions.vectors import hashed_embedding, norm, sparse_cosine, word_dimensions
+from ..functions.vectors import bind, hashed_embedding, norm, sparse_cosine, word_dimensions
 
 SUPPORTED, UNCERTAIN = 0.65, 0.40
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -43,7 +43,8 @@ def detect(answers: DataFrame) -> DataFrame:
     The context's vector is computed once per answer; generic spans go before any similarity is."""
     rows = answers.withColumn("dense", hashed_embedding(F.coalesce("context", F.lit("")))).withColumn("dense_norm", norm("dense"))
     rows = rows.select("answer_id", "dense", "dense_norm", F.explode(spans_of(F.col("answer"))).alias("span")).filter(~is_generic(F.col("span")))
-    rows = rows.withColumn("c", sparse_cosine(word_dimensions("span"), F.col("dense"), F.col("dense_norm")))
+    c = bind(word_dimensions("span"), lambda dims: sparse_cosine(dims, F.col("dense"), F.col("dense_norm")))
+    rows = rows.select("answer_id", "span", F.explode(F.array(c)).alias("c"))  # an attribute, so a filter on the status computes nothing twice
     return rows.select("answer_id", "span", F.round("c", 4).alias("confidence"), status(F.round("c", 9)).alias("status"))
 
 
@@ -72,7 +73,24 @@ def faithfulness(answers: DataFrame, spans: DataFrame, weights: tuple[float, flo
 
 
 def report(spans: DataFrame, n_hallucinated: int = 5, n_spans: int = 10, chars: int = 50) -> DataFrame:
-    """What a page shows of one batch: the first hallucinated spans, then the first spans, shortened."""
-    bad = hallucinated(spans).orderBy("answer_id", "span").limit(n_hallucinated).withColumn("list", F.lit("hallucinated"))
-    first = spans.orderBy("answer_id", "span").limit(n_spans).withColumn("list", F.lit("spans"))
-    return bad.unionByName(first).select("list", "answer_id", F.substring("span", 1, chars).alias("span"), F.round("confidence", 2).alias("confidence"), "status")
+    """What a page shows of each answer: the first hallucinated spans, whole, and the first spans, shortened; in order of span."""
+    order = Window.partitionBy("answer_id").orderBy("span")
+    bad = hallucinated(spans).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n_hallucinated).withColumn("list", F.lit("hallucinated"))
+    first = spans.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n_spans).withColumns({"list": F.lit("spans"), "span": F.substring("span", 1, chars)})
+    return bad.unionByName(first).select("answer_id", "list", "n", "span", "confidence", "status")
+
+
+def sources(hits: DataFrame, n_sources: int = 3, chars: int = 500) -> DataFrame:
+    """query_id, n (from 1), article, final_score, preview of the first hits.  ``hits``: query_id, rank, article, final_score, content."""
+    preview = F.concat(F.substring(F.coalesce("content", F.lit("")), 1, chars), F.lit("..."))
+    return hits.filter(F.col("rank") < n_sources).select("query_id", (F.col("rank") + 1).alias("n"), "article", "final_score", preview.alias("preview"))
+
+
+def metrics(answers: DataFrame, spans: DataFrame) -> DataFrame:
+    """answer_id, total_spans, supported, hallucinated, overall_faithfulness, faithfulness and evidence_coverage (2 digits),
+    unsupported_claims (a number of spans)."""
+    counts, scores = summary(answers, spans), faithfulness(answers, spans)
+    return counts.join(scores, "answer_id").select(
+        "answer_id", "total_spans", "supported", "hallucinated", "overall_faithfulness", F.round("faithfulness_score", 2).alias("faithfulness"),
+        F.col("hallucinated").alias("unsupported_claims"), F.round("evidence_coverage_score", 2).alias("evidence_coverage"),
+    )

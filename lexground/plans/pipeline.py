@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.text import clean_raw_text
 from ..operators import chunking, embedding, generation, graph, search, spans
+from ..sources.store import VectorStore
 
 
 def build_chunks(documents: DataFrame, config: Config = Config()) -> DataFrame:
     return chunking.hybrid_chunks(documents.withColumn("text", clean_raw_text("text")), config.max_chunk_size)
 
 
+def build_index(documents: DataFrame, store: VectorStore, config: Config = Config(), model=None) -> dict:
+    """Chunks, their embeddings and their metadata into the store; its statistics."""
+    chunks = build_chunks(documents, config).checkpoint()  # joined with its own embeddings
+    store.add_chunks(chunks, embedding.embed(chunks, ["doc_id", "pos"], model=model, dimensions=config.embedding_dimensions, max_words=config.embedding_max_words))
+    return store.stats()
+
+
 def build_graph(chunks: DataFrame) -> dict[str, DataFrame]:
     found = graph.with_entities(chunks).checkpoint()  # read several times below
     nodes = graph.nodes(graph.entities(found))
@@ -21,11 +29,11 @@ def build_graph(chunks: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": edges, "entity_chunks": graph.entity_chunks(found, nodes)}
 
 
-def answer(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, knowledge: dict[str, DataFrame] | None = None, config: Config = Config(), model=None) -> dict[str, DataFrame]:
+def answer(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, knowledge: dict[str, DataFrame] | None = None, config: Config = Config(), model=None, embedder=None) -> dict[str, DataFrame]:
     """hits, answers, spans, scores for (query_id, query).  ``chunks``: id, article, content; ``chunk_vectors``: id, embedding;
     without ``knowledge`` the ranking is by vectors alone."""
-    asked = embedding.embed(questions, ["query_id"], "query")
-    found = search.vector_search(chunk_vectors, asked, config.top_k).withColumnRenamed("id", "chunk_id")
+    asked = embedding.embed(questions, ["query_id"], "query", embedder, config.embedding_dimensions, config.embedding_max_words)
+    found = search.vector_search(chunk_vectors, asked, config.top_k).withColumnRenamed("id", "chunk_id").checkpoint()
     meta = chunks.select(F.col("id").alias("chunk_id"), "article", "content")
     vector_hits = found.join(meta, "chunk_id")
     if knowledge is None:
@@ -33,8 +41,9 @@ def answer(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, kn
     else:
         seeds = vector_hits.filter("article is not null").groupBy("query_id", F.concat(F.lit("Article_"), "article").alias("seed")).agg(F.min("rank").alias("seed_rank"))
         graph_hits = graph.graph_search(knowledge["edges"], knowledge["entity_chunks"].select("entity", "chunk_id"), seeds, config.graph_depth, config.top_k)
-    hits = search.fuse(found.select("query_id", "chunk_id", "rank"), graph_hits, config.top_k)
-    context = search.assemble_context(hits.join(meta, "chunk_id", "left"))
-    answers = generation.generate(questions.join(context, "query_id"), model).withColumnRenamed("query_id", "answer_id")
-    found_spans = spans.detect(answers)
+    # each stage is written out, as the ones after it read it more than once
+    hits = search.fuse(found.select("query_id", "chunk_id", "rank"), graph_hits, config.top_k).join(meta, "chunk_id", "left").checkpoint()
+    asked_with = questions.select("query_id", "query").join(search.assemble_context(hits), "query_id")
+    answers = generation.generate(asked_with, model).withColumnRenamed("query_id", "answer_id").checkpoint()
+    found_spans = spans.detect(answers).checkpoint()
     return {"hits": hits, "answers": answers, "spans": found_spans, "scores": spans.faithfulness(answers, found_spans)}

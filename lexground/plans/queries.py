@@ -44,7 +44,8 @@ def _found(spark, d):
 
 
 def _queries_of(e: DataFrame) -> DataFrame:
-    return e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    """The stated query set: every vector whose id is divisible by 20."""
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def vector_topk(spark, d):
@@ -54,7 +55,13 @@ def vector_topk(spark, d):
 
 def embedding_normalize(spark, d):
     e = _read(spark, d, "embeddings").select("vec_id", normalise(F.transform("embedding", lambda x: x * 3)).alias("v"))
-    return e.select("vec_id", F.round(norm("v"), 6).alias("norm"), F.round(F.element_at("v", 1), 5).alias("first"), F.size("v").cast("long").alias("dim"))
+    rows = e.select("vec_id", F.round(norm("v"), 6).alias("norm"), F.size("v").cast("long").alias("size"), F.posexplode("v").alias("dim", "x"))
+    return rows.select("vec_id", "norm", "size", F.col("dim").cast("long").alias("dim"), (F.round("x", 5) + F.lit(0.0)).alias("x"))
+
+
+def text_embedding(spark, d):
+    e = embedding.embed(_read(spark, d, "documents"), ["doc_id"], "text")
+    return e.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 def centroid_mean_pool(spark, d):
@@ -99,7 +106,7 @@ def document_title(spark, d):
 
 
 def clean_title(spark, d):
-    return _read(spark, d, "documents").select("doc_id", T.clean_title(F.concat(F.substring("text", 1, 200), F.lit(" ,-."))).alias("title"))
+    return _read(spark, d, "documents").select("doc_id", T.clean_title(F.concat("text", F.lit(" ,-."))).alias("title"))
 
 
 def pages_to_text(spark, d):
@@ -118,8 +125,9 @@ def smart_subdivide(spark, d):
 
 
 def hybrid_chunk(spark, d):
+    from_checkpoint(spark)
     c = chunking.hybrid_chunks(statutes(spark, d))
-    return c.groupBy("doc_id", "method", "document_title", "part").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"), F.min("chunk_id").alias("first_id"))
+    return c.select(*[F.col(x).cast("long").alias(x) if x in ("pos", "token_count") else x for x in c.columns])
 
 
 def _refs(f):
@@ -155,35 +163,32 @@ def graph_stats(spark, d):
     return graph.graph_stats(nodes, edges)
 
 
-def _volume_edges(spark, d):
+def graph_volume_edges(spark, d):
+    """A graph of the lineitem table: parts are articles, suppliers sections."""
     rows = _read(spark, d, "lineitem").select(
-        F.concat(F.lit("Article_"), F.col("l_partkey") % 400).alias("src"), F.concat(F.lit("Section_"), (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 900).alias("dst")
+        F.concat(F.lit("Article_"), "l_partkey").alias("src"), F.concat(F.lit("Section_"), "l_suppkey").alias("dst"), F.lit("refers_to").alias("relationship_type")
     )
-    return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-
+    ends = rows.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
+    return graph.edges(rows, graph.nodes(ends))
 
-def graph_volume_edges(spark, d):
-    return _volume_edges(spark, d)
 
+def graph_stats_report(spark, d):
+    return graph.stats_report(graph_stats(spark, d))
 
-def _ring(spark):
-    """A sparse directed graph of 50 articles."""
-    r = spark.range(50)
-    a = r.select(F.concat(F.lit("Article_"), "id").alias("src"), F.concat(F.lit("Article_"), (F.col("id") + 1) % 50).alias("dst")).filter("substring(src, 9) % 7 <> 0")
-    return a.union(r.filter("id % 5 = 0").select(F.concat(F.lit("Article_"), "id"), F.concat(F.lit("Article_"), (F.col("id") * 3 + 1) % 50))).distinct()
 
-
-def _seeds(spark):
-    return spark.range(10).select(F.concat(F.lit("Article_"), F.col("id") * 5).alias("seed"))
+def _seeds(edges):
+    """Every article that has an edge."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("seed")).filter(F.col("seed").startswith("Article_")).distinct()
 
 
 def graph_neighbors(spark, d):
-    return graph.neighbours(_ring(spark), _seeds(spark), 1)
+    edges = _tables(spark, d)[2].checkpoint()
+    return graph.neighbours(edges, _seeds(edges), 1)
 
 
 def graph_distance(spark, d):
-    from_checkpoint(spark)
-    out = graph.directed_distances(_ring(spark), graph.neighbours(_ring(spark), _seeds(spark), 1))
+    edges = _tables(spark, d)[2].checkpoint()
+    out = graph.directed_distances(edges, graph.neighbours(edges, _seeds(edges), 1).checkpoint())
     return out.select("seed", "entity", F.when(F.col("graph_distance") < 1e9, F.col("graph_distance")).otherwise(-1.0).alias("graph_distance"))
 
 
@@ -196,26 +201,95 @@ def from_checkpoint(spark: SparkSession) -> None:
 
 
 def _fused(spark, d):
-    from_checkpoint(spark)
-    e = _read(spark, d, "embeddings")
-    hits = search.vector_search(e.withColumnRenamed("vec_id", "id"), _queries_of(e), 5).select("query_id", F.col("id").alias("chunk_id"), "rank")
-    seeds = hits.groupBy("query_id", F.concat(F.lit("Article_"), F.col("chunk_id") % 50).alias("seed")).agg(F.min("rank").alias("seed_rank"))
-    links = e.filter("vec_id < 100").select(F.concat(F.lit("Article_"), F.col("vec_id") % 50).alias("entity"), F.col("vec_id").alias("chunk_id"))
-    return search.fuse(hits, graph.graph_search(_ring(spark), links, seeds, 1, 5), 5)
+    """Vectors as chunks: those of an id are linked to the article of its remainder by 60, in the graph of the statute view."""
+    edges, e = _tables(spark, d)[2].checkpoint(), _read(spark, d, "embeddings")
+    hits = search.vector_search(e.withColumnRenamed("vec_id", "id"), _queries_of(e), 5).select("query_id", F.col("id").alias("chunk_id"), "rank").checkpoint()
+    article = lambda c: F.concat(F.lit("Article_"), F.col(c) % 60)
+    seeds = hits.groupBy("query_id", article("chunk_id").alias("seed")).agg(F.min("rank").alias("seed_rank"))
+    links = e.select(article("vec_id").alias("entity"), F.col("vec_id").alias("chunk_id"))
+    return hits, graph.graph_search(edges, links, seeds, 1, 5)
+
+
+def graph_search(spark, d):
+    found = _fused(spark, d)[1]
+    return found.withColumn("graph_distance", F.when(F.col("graph_distance") < 1e9, F.col("graph_distance")).otherwise(-1.0))
 
 
 def fused_retrieval(spark, d):
-    return _fused(spark, d)
+    return search.fuse(*_fused(spark, d), 5)
 
 
 def context_assembly(spark, d):
-    items = _read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("content"))
-    return search.assemble_context(_fused(spark, d).join(items, "chunk_id", "left"))
+    items = _read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return search.assemble_context(fused_retrieval(spark, d).join(items, "chunk_id", "left"))
+
+
+def _questions(spark, d):
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("What is "), "text", F.lit("?")).alias("query"), F.col("text").alias("context"))
 
 
 def prompts(spark, d):
-    rows = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("What is "), F.substring("text", 1, 20), F.lit("?")).alias("query"), F.col("text").alias("context"))
-    return generation.generate(rows).select("query_id", F.length("prompt").cast("long").alias("prompt_chars"), "answer")
+    return generation.generate(_questions(spark, d)).select("query_id", "prompt", "answer")
+
+
+def _place(spark, name):
+    from uuid import uuid4
+
+    from_checkpoint(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+def _store(spark, d):
+    """The fallback chunks of the documents, stored with their embeddings."""
+    from ..sources.store import VectorStore
+
+    store = VectorStore(spark, _place(spark, "store"), fresh_start=True)
+    chunks = chunking.recursive_chunks(_read(spark, d, "documents")).withColumn("chunk_id", F.concat(F.lit("recursive_"), "pos"))
+    store.add_chunks(chunks, embedding.embed(chunks, ["doc_id", "pos"]))
+    return store
+
+
+def store_rows(spark, d):
+    r = _store(spark, d).rows()
+    return r.select("id", "doc_id", F.col("pos").cast("long").alias("pos"), "document", "token_count", F.size("embedding").cast("long").alias("dim"), F.round(norm("embedding"), 5).alias("norm"))
+
+
+def store_stats(spark, d):
+    found = _store(spark, d).stats()
+    return spark.createDataFrame([(found["count"],)], "count long")
+
+
+def store_search(spark, d):
+    asked = embedding.embed(_questions(spark, d), ["query_id"], "query")
+    return _store(spark, d).search(asked, 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "similarity_score", "content")
+
+
+def _answered(spark, d):
+    """Questions answered from the articles of the statute view, by vectors and graph."""
+    from . import pipeline
+
+    from_checkpoint(spark)
+    chunks = _chunks(spark, d).withColumn("id", F.concat_ws("_", F.lit("article"), "doc_id", "article")).checkpoint()
+    found = pipeline.build_graph(chunks.withColumn("chunk_id", F.col("id")))
+    knowledge = found | {"edges": found["edges"].checkpoint(), "entity_chunks": found["entity_chunks"].checkpoint()}
+    return pipeline.answer(_questions(spark, d).drop("context"), chunks.select("id", "article", "content"), embedding.embed(chunks, ["id"]).checkpoint(), knowledge)
+
+
+def process_query(spark, d):
+    r = _answered(spark, d)
+    return r["answers"].select("answer_id", "answer", F.md5("context").alias("context_md5")).join(r["scores"], "answer_id")
+
+
+def retrieval_metadata(spark, d):
+    r = _answered(spark, d)
+    asked = r["answers"].select(F.col("answer_id").alias("query_id"), "query", "context")
+    told = generation.generate_with_metadata(asked, r["hits"])
+    return told.select("query_id", "answer", F.posexplode("retrieval_metadata").alias("rank", "m")).select("query_id", "answer", F.col("rank").cast("long").alias("rank"), "m.*")
+
+
+def answer_sources(spark, d):
+    r = spans.sources(_answered(spark, d)["hits"])
+    return r.withColumn("n", F.col("n").cast("long"))
 
 
 def _answers(spark, d):
@@ -248,6 +322,16 @@ def hallucination_summary(spark, d):
     return spans.summary(a, spans.detect(a))
 
 
+def answer_report(spark, d):
+    r = spans.report(spans.detect(_answers(spark, d)))
+    return r.withColumn("n", F.col("n").cast("long"))
+
+
+def answer_metrics(spark, d):
+    a = _answers(spark, d)
+    return spans.metrics(a, spans.detect(a))
+
+
 def faithfulness_scores(spark, d):
     a = _answers(spark, d)
     return spans.faithfulness(a, spans.detect(a))
@@ -255,6 +339,7 @@ def faithfulness_scores(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, embedding_normalize, centroid_mean_pool, token_count, recursive_chunks, chunk_report, sample_chunks, clean_raw_text, remove_footers, clean_text, document_title,
+    text_embedding, store_rows, store_stats, store_search, graph_search, graph_stats_report, process_query, retrieval_metadata, answer_sources, answer_report, answer_metrics,
     clean_title, pages_to_text, article_chunks, smart_subdivide, hybrid_chunk, relations, graph_nodes, graph_edges, entity_chunks, graph_stats, graph_volume_edges, graph_neighbors,
     graph_distance, fused_retrieval, context_assembly, prompts, answer_spans, generic_span_filter, span_status, hallucinated_spans, hallucination_summary, faithfulness_scores,
 )} | {"article_refs": _refs(article_refs), "section_refs": _refs(section_refs), "part_refs": _refs(part_refs), "case_refs": _refs(case_refs), "concepts": _refs(concepts)}

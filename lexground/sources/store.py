@@ -17,10 +17,12 @@ class VectorStore:
         self.spark, self.path, self.mode = spark, path, "overwrite" if fresh_start else "append"
 
     def add_chunks(self, chunks: DataFrame, embeddings: DataFrame) -> None:
-        """Joins by (doc_id, pos); raises if their numbers differ.  All metadata are strings; absent ones stay null."""
-        n, m = chunks.count(), embeddings.count()
-        if n != m:
-            raise ValueError(f"{n} chunks but {m} embeddings")
+        """Joins by (doc_id, pos); raises unless each chunk has one embedding and each embedding one chunk.  All metadata are
+        strings; absent ones stay null."""
+        count = lambda rows, name: rows.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias(name))
+        wrong = count(chunks, "n").join(count(embeddings, "m"), ["doc_id", "pos"], "full_outer").filter("coalesce(n, 0) <> 1 or coalesce(m, 0) <> 1")
+        if bad := wrong.first():
+            raise ValueError(f"{bad['n'] or 0} chunks but {bad['m'] or 0} embeddings of {bad['doc_id']}, {bad['pos']}")
         meta = [F.col(c).cast("string").alias(c) for c in METADATA if c in chunks.columns]
         ident = F.concat_ws("_", "chunk_id", "doc_id", "pos").alias("id")
         rows = chunks.join(embeddings, ["doc_id", "pos"]).select(ident, "doc_id", "pos", F.col("content").alias("document"), "embedding", *meta)

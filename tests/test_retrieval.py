@@ -71,10 +71,10 @@ def test_neighbours_and_distances(spark):
 
 def test_distances_of_a_long_chain(spark):
     queries.from_checkpoint(spark)
-    edges = spark.createDataFrame([(f"Article_{i}", f"Article_{i + 1}") for i in range(20)], "src string, dst string")
-    pairs = spark.createDataFrame([("Article_0", f"Article_{i}") for i in range(21)] + [("Article_20", "Article_0")], "seed string, entity string")
+    edges = spark.createDataFrame([(f"Article_{i}", f"Article_{i + 1}") for i in range(30)], "src string, dst string")
+    pairs = spark.createDataFrame([("Article_0", f"Article_{i}") for i in range(31)] + [("Article_30", "Article_0")], "seed string, entity string")
     got = {(r["seed"], r["entity"]): r["graph_distance"] for r in graph.directed_distances(edges, pairs).collect()}
-    assert got == {("Article_0", f"Article_{i}"): float(i) for i in range(21)} | {("Article_20", "Article_0"): math.inf}
+    assert got == {("Article_0", f"Article_{i}"): float(i) for i in range(31)} | {("Article_30", "Article_0"): math.inf}
 
 
 def test_chunking_and_relations(spark):
@@ -87,10 +87,10 @@ def test_chunking_and_relations(spark):
     assert ("Article_14", "related_to", "Article_15") in rels and ("Article_1", "discusses", "state") in rels
 
 
-@pytest.mark.parametrize("name", ["vector_topk", "chunk_report", "recursive_chunks", "clean_raw_text", "article_refs", "graph_neighbors", "centroid_mean_pool"])
+@pytest.mark.parametrize("name", ["vector_topk", "chunk_report", "recursive_chunks", "clean_raw_text", "article_refs", "graph_neighbors", "centroid_mean_pool", "hybrid_chunk", "text_embedding", "store_search", "fused_retrieval", "process_query", "answer_report"])
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.execute(oracles.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, DATA).toPandas()
@@ -104,3 +104,109 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_search_keeps_the_best_of_a_task(spark):
+    """Only a task's best rows are shuffled, and queries in several blocks give the same hits."""
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    rows, asked = e.select(F.col("vec_id").alias("id"), "embedding"), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search.vector_search(rows, asked, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+    held, search.BLOCK_BYTES = search.BLOCK_BYTES, 4000
+    many = search.vector_search(rows, asked, 5)
+    search.BLOCK_BYTES = held
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, hits.collect()))
+    assert search.vector_search(rows, asked.limit(0), 5).count() == 0
+
+
+def test_store(spark, tmp_path):
+    from lexground.operators import embedding
+    from lexground.sources.store import VectorStore
+
+    chunks = spark.createDataFrame([(1, 0, "a", "the cat sat", 3), (1, 1, "b", "a dog ran", 3), (2, 0, "c", "", 0)], "doc_id long, pos int, chunk_id string, content string, token_count int")
+    vectors = embedding.embed(chunks, ["doc_id", "pos"])
+    store = VectorStore(spark, str(tmp_path / "s"), fresh_start=True)
+    store.add_chunks(chunks, vectors)
+    asked = embedding.embed(spark.createDataFrame([(7, "dog ran")], "query_id long, query string"), ["query_id"], "query")
+    hit = store.search(asked, 1).first()
+    assert (hit["id"], hit["content"], hit["token_count"]) == ("b_1_1", "a dog ran", "3") and store.stats()["count"] == 3
+    store.add_chunks(chunks, vectors)
+    assert store.stats()["count"] == 6
+    other = vectors.withColumn("doc_id", F.col("doc_id") + 1)
+    for wrong in (other, vectors.limit(2), vectors.unionByName(vectors.limit(1)), vectors.filter("doc_id = 2").unionByName(vectors.filter("doc_id = 2")).unionByName(vectors.filter("pos = 1"))):
+        with pytest.raises(ValueError):
+            store.add_chunks(chunks, wrong)
+    VectorStore(spark, str(tmp_path / "s"), fresh_start=True).add_chunks(chunks, vectors)
+    assert store.stats()["count"] == 3
+
+
+def test_embedding(spark):
+    from lexground.operators import embedding
+
+    assert embedding.dimension(spark) == 64 and embedding.dimension(spark, dimensions=8) == 8
+    with pytest.raises(ValueError):
+        embedding.embed_one(spark, " \n")
+    rows = spark.createDataFrame([(1, "x"), (2, None), (3, "x")], "id int, content string")
+    got = {r["id"]: list(r["embedding"]) for r in embedding.embed(rows, ["id"], model=lambda texts: [[3.0, 4.0] for _ in texts]).collect()}
+    assert got[2] == [0.0, 0.0] and got[1] == got[3] == pytest.approx([0.6, 0.8])
+    tokens = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 0, [9.0, 9.0]), (1, 1, [3.0, 4.0]), (2, 0, [5.0, 5.0])], "text int, mask int, embedding array<double>")
+    assert {r["text"]: r["embedding"] for r in embedding.mean_pool(tokens, ["text"], mask="mask").collect()} == {1: [2.0, 3.0], 2: [0.0, 0.0]}
+
+
+def test_session(spark, tmp_path):
+    """Index, graph and questions to scores, with a graph and without."""
+    from lexground.config import Config
+    from lexground.plans.session import Session
+
+    queries.from_checkpoint(spark)
+    body = "All persons have the right to life and personal liberty " * 8
+    text = "\n".join(f"{i}. Title {i}.\n{body} See Article {i % 7 + 1} and Article {i % 5 + 1} on equality number{i}" for i in range(1, 10))
+    docs = spark.createDataFrame([(1, f"THE TEST ACT, 1950\n{text}")], "doc_id long, text string")
+    s = Session(spark, Config(store_path=str(tmp_path / "index"), top_k=3), fresh_start=True)
+    assert s.build_index(docs)["count"] == 9
+    trial = s.trial().collect()
+    assert len(trial) == 12 and {r["hierarchy_level"] for r in trial} == {"unknown"}
+    asked = spark.createDataFrame([(1, "What of number4 and equality?"), (2, "life")], "query_id long, query string")
+    plain = s.ask(asked)
+    assert plain["scores"].count() == 2 and {r["source"] for r in plain["hits"].collect()} == {"vector"}
+    s.build_graph(docs)
+    full = s.ask(asked)
+    hits = full["hits"].collect()
+    assert any(r["graph_weight"] > 0 for r in hits) and all(r["content"] for r in hits) and full["answers"].count() == 2
+    for k in (0, 11):
+        with pytest.raises(ValueError):
+            Config(top_k=k)
+
+
+def test_configuration(tmp_path, monkeypatch):
+    from lexground import config
+
+    (tmp_path / "c.yaml").write_text("retrieval:\n  top_k: 7\nstore_path: x\nunknown: 1\n")
+    found = config.load_config(str(tmp_path / "c.yaml"))
+    assert (found.top_k, found.store_path, found.max_chunk_size) == (7, "x", 512)
+    monkeypatch.setenv("LEXGROUND_TEST", "v")
+    assert config.get_env("LEXGROUND_TEST") == "v" and config.get_env("LEXGROUND_ABSENT", "d") == "d"
+    with pytest.raises(EnvironmentError):
+        config.get_env("LEXGROUND_ABSENT")
+    config.ensure_dirs(str(tmp_path / "a" / "b"))
+    assert (tmp_path / "a" / "b").is_dir()
+
+
+def test_files_and_stream(spark, tmp_path):
+    from lexground.sources import documents
+    from lexground.streaming.ingest import ingest_chunks
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("one\ntwo")
+    assert [r["text"] for r in documents.read_text(spark, str(tmp_path / "t")).collect()] == ["one\ntwo"]
+    (tmp_path / "t" / "b.pdf").write_bytes(b"p1|p2")
+    pages = documents.read_pdf(spark, str(tmp_path / "t" / "b.pdf"), lambda b: b.decode().split("|"))
+    assert [(r["page"], r["text"]) for r in pages.orderBy("page").collect()] == [(1, "p1"), (2, "p2")]
+    assert documents.from_pages(pages).first()["text"] == "[PAGE_1]\np1\n[PAGE_2]\np2"
+    text = "\n\n".join([" ".join(["word"] * 60)] * 2)
+    for k in range(2):  # a second run takes only what is new
+        spark.createDataFrame([(k, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/in/{k}")
+        q = ingest_chunks(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/state")
+        q.awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 2 * (k + 1)
