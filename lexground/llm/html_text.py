@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a range, at least, and ranges that hosts are split into, about, at most.
-RANGE_ROWS, RANGES = 64, 10_000
+RANGE_ROWS, RANGES = 16, 10_000
 #: A neighbour that shares more than this part of a page's characters is a copy.
 COPY_SHARE = 0.9
 
