@@ -12,10 +12,15 @@ from ..functions import text as T
 from ..functions.entities import CONCEPTS, article_refs, case_refs, concepts, part_refs, section_refs
 from ..functions.vectors import normalise, norm
 from ..operators import chunking, embedding, generation, graph, search, spans
+from ..sources.documents import spread
+
+#: Tables whose rows take long: texts.  The others are only aggregated or few, which costs less than a shuffle.
+HEAVY = ("documents", "conversations")
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name in HEAVY else rows
 
 
 def statutes(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Raw documents: page tables, text files and PDF files."""
+"""Raw documents: page tables, text files and PDF files; tables of few splits, dealt out to all cores."""
 
 from __future__ import annotations
 
@@ -8,6 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A scan of more splits than this for each core is left alone without looking into it.
+MANY_SPLITS = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan, dealt out to all cores if at most half as many of its splits hold rows.
+
+    A Parquet row group can't be divided, so a file of one is worked on by one core whatever its size.  The splits that hold
+    rows are counted from footers.  The rows are the same; a scan that can keep half of the cores busy is never shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if cores < 2 or rows.rdd.getNumPartitions() > MANY_SPLITS * cores:
+        return rows
+    held = rows.select(F.spark_partition_id().alias("split")).distinct().count()
+    return rows.repartition(cores) if 0 < held <= cores // 2 else rows
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """doc_id, text: the pages (doc_id, page, text) in order, each after ``[PAGE_n]``; blank pages are left out but counted."""
     kept = pages.filter(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "") != "")

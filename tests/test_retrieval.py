@@ -193,6 +193,21 @@ def test_configuration(tmp_path, monkeypatch):
     assert (tmp_path / "a" / "b").is_dir()
 
 
+def test_spread(spark, tmp_path):
+    from lexground.sources.documents import spread
+
+    held = lambda rows: rows.select(F.spark_partition_id()).distinct().count()
+    for n in (1, 40):  # a file of one row group is dealt out, forty files are not
+        spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("t")).coalesce(1).repartition(n).write.parquet(f"{tmp_path}/{n}")
+        rows = spark.read.parquet(f"{tmp_path}/{n}")
+        dealt = spread(rows)
+        assert held(dealt) == (6 if n == 1 else held(rows)) and sorted(r["id"] for r in dealt.select("id").collect()) == list(range(5000))
+    assert ("Exchange" in dealt._jdf.queryExecution().executedPlan().toString()) is False
+    pruned = spread(spark.read.parquet(f"{tmp_path}/1")).filter("id > 7").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in pruned and "GreaterThan(id,7)" in pruned
+    assert spread(rows.filter("id < 0")).count() == 0
+
+
 def test_files_and_stream(spark, tmp_path):
     from lexground.sources import documents
     from lexground.streaming.ingest import ingest_chunks
