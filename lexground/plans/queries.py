@@ -14,8 +14,8 @@ from ..functions.vectors import normalise, norm
 from ..operators import chunking, embedding, generation, graph, search, spans
 from ..sources.documents import spread
 
-#: Tables whose rows take long: texts.  The others are only aggregated or few, which costs less than a shuffle.
-HEAVY = ("documents", "conversations")
+#: Tables whose rows take long in the scan's own stage.  The others are aggregated, shuffled at once or few.
+HEAVY = ("documents",)
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
