@@ -198,11 +198,14 @@ def graph_distance(spark, d):
 
 
 def from_checkpoint(spark: SparkSession) -> None:
-    """A checkpoint folder where the session names none (tests)."""
+    """A checkpoint folder: the one that the session names; a temporary one only on a local master (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexground-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexground-"))
 
 
 def _fused(spark, d):
