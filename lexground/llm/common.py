@@ -1,8 +1,10 @@
-"""Shared helpers: table access, lineage cuts, sizes."""
+"""Shared helpers: table access, lineage cuts, sizes, and what Python workers hold between tasks."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,5 +55,46 @@ def beside(rows: DataFrame, input_columns: list[str], added: list[str]) -> DataF
     return rows.select(*[F.col(f"document.`{c}`") for c in input_columns if c not in added], *added)
 
 
+_kept: dict = {}
+
+
+def forget(but=None) -> None:
+    """Drops what ``kept`` holds, unless it is that of key ``but``."""
+    if but not in _kept:
+        _kept.clear()
+
+
+def kept(key, make: Callable):
+    """``make()``, once per Python worker until another key is asked for: workers outlive a stage, and so would its vocabulary."""
+    forget(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Gives the memory that this process has freed back to the system, which its allocators would hold beside the next stage's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable, uses=None) -> Callable:
+    """``work``, a function of a task's batches that needs no kept object but that of key ``uses``, and releases what it has freed."""
+
+    def run(batches):
+        forget(uses)
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

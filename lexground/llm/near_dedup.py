@@ -40,7 +40,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, nested
+from .common import cut, nested, tidy
 from .tokens import slices
 
 WORDS, SIMILARITY = 5, 0.8
@@ -163,7 +163,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 columns = [pa.array([d for d, _ in found], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:2]] + columns, ["doc_id", "row_key", "node", "bands"])
 
-    return documents.select("doc_id", "row_key", "text").mapInArrow(sign, "doc_id long, row_key long, node binary, bands array<long>")
+    return documents.select("doc_id", "row_key", "text").mapInArrow(tidy(sign), "doc_id long, row_key long, node binary, bands array<long>")
 
 
 def region_sets(documents: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def region_sets(documents: DataFrame) -> DataFrame:
                         found[digest] = regions.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(found.values(), pa.binary())], ["node", "regions"])
 
-    return documents.select("text").mapInArrow(shingle, "node binary, regions binary")
+    return documents.select("text").mapInArrow(tidy(shingle), "node binary, regions binary")
 
 
 def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _paired(pairs, sets).mapInArrow(compare, "a binary, b binary")
+    return _paired(pairs, sets).mapInArrow(tidy(compare), "a binary, b binary")
 
 
 def against_pivots(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -233,7 +233,7 @@ def against_pivots(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["node", "pivot", "middle", "linked", "size", "apart"])
 
     found = _paired(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
-    return found.mapInArrow(compare, "node binary, pivot binary, middle long, linked boolean, size long, apart array<long>")
+    return found.mapInArrow(tidy(compare), "node binary, pivot binary, middle long, linked boolean, size long, apart array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .tokens import WORD_VOCABULARY, slices, word_encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -57,7 +57,7 @@ def pieces(documents: DataFrame, tokenizer: str = WORD_VOCABULARY, capacity: int
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(cut_up, tokenizer), PIECES)
 
 
 def best_fit_decreasing(lengths, capacity: int):

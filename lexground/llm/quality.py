@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, cut, nested, written
+from .common import beside, cut, kept, nested, release, written
 from .tokens import MEMO_CHARS, MEMO_CHUNKS, PIECE_VOCABULARY, vocabulary
 
 #: Base rule: words at least, and the share of words in repeated windows of five at most.
@@ -122,14 +122,9 @@ class PieceCounter:
         return n, float(self.is_byte[ids].mean()), float(np.log(n) - (counts * np.log(counts)).sum() / n) / float(np.log(n))
 
 
-_made: dict = {}
-
-
 def piece_counter(name: str) -> PieceCounter:
     """One counter per Python worker."""
-    if name not in _made:
-        _made[name] = PieceCounter(name)
-    return _made[name]
+    return kept(name, lambda: PieceCounter(name))
 
 
 def _measures(tokenizer: str):
@@ -151,6 +146,7 @@ def _measures(tokenizer: str):
                 len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
                 tokens, chars / max(1, tokens), byte_share, entropy,
             ))
+        release()
         return pd.DataFrame(rows, columns=names)
 
     return measured.asNondeterministic()  # so that it is evaluated once however often its fields are used

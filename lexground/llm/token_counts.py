@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .tokens import WORD_VOCABULARY, slices, word_encoder
 
 #: Lengths are summed within blocks of this width, then over blocks, so that no one task holds all lengths.
@@ -36,7 +36,7 @@ def encoded_lengths(documents: DataFrame, tokenizer: str = WORD_VOCABULARY, end_
             found = [len(ids) // 4 + end_tokens for a, b in slices(texts) for ids in encoder.encode(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lengths, "doc_id long, n_tokens long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(lengths, tokenizer), "doc_id long, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

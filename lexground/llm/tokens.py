@@ -11,11 +11,12 @@ import os
 import re
 import struct
 
+from .common import kept
+
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 #: A memo takes up to this many chunks, the first met being the frequent ones; longer chunks are encoded each time.
 MEMO_CHUNKS, MEMO_CHARS = 120_000, 40
-_made: dict = {}
 
 
 def vocabulary(name: str) -> str:
@@ -102,9 +103,7 @@ class WordEncoder:
 
 def word_encoder(name: str = WORD_VOCABULARY) -> WordEncoder:
     """One encoder per Python worker."""
-    if name not in _made:
-        _made[name] = WordEncoder(name)
-    return _made[name]
+    return kept(name, lambda: WordEncoder(name))
 
 
 def slices(texts: list, most_chars: int = 4_000_000):

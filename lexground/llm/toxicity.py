@@ -29,12 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, cut, nested
+from .common import beside, cut, forget, nested, release, tidy
+from .tokens import slices
 
 ORDER, WINDOW = 6, 2
 MAX_LABELLED, MAX_CALIBRATED = 60_000, 20_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 MEMO_WORDS = 120_000
+#: Characters of texts whose words are counted at once in a worker; the counts are sums and do not depend on it.
+SLICE_CHARS = 2_000_000
 #: The shared probability of a character after a sequence when they were never met together.
 UNMET = 1e-4
 #: Weights of window, mean, log_words and the constant where there is nothing to fit them on: a window's likelihood ratio of e.
@@ -63,21 +66,23 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
         from collections import Counter
 
         for batch in batches:
-            words: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words[toxic].update(_word.findall((text or "").lower()))
-            grams: tuple[Counter, Counter] = (Counter(), Counter())
-            for kind in (0, 1):
-                for w, n in words[kind].items():
-                    grams[kind][WHOLE + w] = n
-                    for g in spelt(w, order):
-                        grams[kind][g] += n
-            names = list(grams[0].keys() | grams[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *(pa.array([grams[k][g] for g in names], pa.int64()) for k in (1, 0))], ["gram", "toxic", "ordinary"]
-            )
-
-    partial = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(count, "gram string, toxic long, ordinary long")
+            texts, kinds = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            for a, b in slices(texts, SLICE_CHARS):
+                words: tuple[Counter, Counter] = (Counter(), Counter())
+                for text, toxic in zip(texts[a:b], kinds[a:b], strict=True):
+                    words[toxic].update(_word.findall(text.lower()))
+                grams: tuple[Counter, Counter] = (Counter(), Counter())
+                for kind in (0, 1):
+                    for w, n in words[kind].items():
+                        grams[kind][WHOLE + w] = n
+                        for g in spelt(w, order):
+                            grams[kind][g] += n
+                names = list(grams[0].keys() | grams[1].keys())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), *(pa.array([grams[k][g] for g in names], pa.int64()) for k in (1, 0))], ["gram", "toxic", "ordinary"]
+                )
+
+    partial = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(tidy(count), "gram string, toxic long, ordinary long")
     return partial.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -231,7 +236,7 @@ def known_scores(words: DataFrame, letters: Letters, masses: Masses) -> DataFram
             scores = masses.log_p(batch.column(1).to_numpy(), found[:, 1], 1) - masses.log_p(batch.column(2).to_numpy(), found[:, 0], 0)
             yield pa.RecordBatch.from_arrays([pa.array(word_keys(names), pa.int64()), pa.array(scores, pa.float64())], ["key", "score"])
 
-    return words.select("gram", "toxic", "ordinary").mapInArrow(run, "key long, score double")
+    return words.select("gram", "toxic", "ordinary").mapInArrow(tidy(run), "key long, score double")
 
 
 class KneserNey:
@@ -339,8 +344,11 @@ def _features(spark, model: KneserNey):
 
     @F.pandas_udf("window double, mean double, log_words double")
     def figures(texts: pd.Series) -> pd.DataFrame:
+        forget()
         own = shared.value
-        return pd.DataFrame([own.features(t or "") for t in texts], columns=["window", "mean", "log_words"], dtype=float)
+        found = pd.DataFrame([own.features(t or "") for t in texts], columns=["window", "mean", "log_words"], dtype=float)
+        release()
+        return found
 
     return figures.asNondeterministic()  # so that it is evaluated once however often its fields are used
 

@@ -560,3 +560,19 @@ def test_nearest_ties(spark):
     use = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"rank": F.lit(1), "score": F.lit("s")}))
     got = [tuple(r)[:4] for r in ann.nearest(use, use.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 3, 1.0), (0, 4, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 0, 0.0), (50, 3, 1, 0.0), (50, 4, 1, 0.0), (50, 5, 3, 0.0)]
+
+
+def test_workers_drop_vocabularies(spark):
+    """Workers outlive stages: once the next one has run, none of them holds a vocabulary of the stage before."""
+    texts = spark.createDataFrame([(i, f"some words {i}", i % 2) for i in range(600)], "doc_id long, text string, toxic int").repartition(6)
+
+    def probe(batches):
+        import gc
+
+        for batch in batches:
+            yield batch.from_pydict({"vocabularies": [sum(type(x).__name__ == "WordEncoder" for x in gc.get_objects())]})
+
+    held = lambda: [r[0] for r in spark.range(0, 6, 1, 6).mapInArrow(probe, "vocabularies long").collect()]
+    assert token_counts.encoded_lengths(texts).count() == 600 and max(held()) == 1
+    assert toxicity.gram_counts(texts).filter(F.col("gram") == toxicity.WHOLE + "some").first()[1:] == (300, 300)
+    assert max(held()) == 0
