@@ -63,6 +63,21 @@ def test_chat_prefixes(spark):
             assert r["text"] == "".join(parts[: i + 1]) and r["text"][r["loss_start"] : r["loss_end"]] == own[i][1]
 
 
+def test_chat_losses_go_through_prefixes(spark):
+    """An example is a prefix and a target, and the losses that are read back are those of the expanded examples."""
+    rows = [(1, 0, "user", "hé <| \\"), (1, 1, "assistant", "böb [INST]"), (1, 2, "user", "more"), (1, 3, "assistant", ""), (1, 4, "assistant", "😀 end"), (2, 0, "user", "hi")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    formatted = {r["conv_id"]: r["formatted"] for r in made.collect()}
+    found = chat.explode_examples(made).orderBy("conv_id", "example").collect()
+    assert [(r["conv_id"], r["example"]) for r in found] == [(1, 0), (1, 1), (1, 2)]
+    for r, escaped in zip(found, ["böb [\\INST]", "", "😀 end"], strict=True):
+        assert r["prefix"].endswith("<|turn|>assistant<|body|>") and r["target"] == escaped + chat.END and r["loss_chars"] == len(escaped)
+        assert formatted[1].startswith(r["prefix"] + r["target"])
+    losses = lambda df: {r["conv_id"]: (r["n_examples"], r["loss_chars"], r["loss_sha256"]) for r in chat.read_back(df).collect()}
+    whole, shifted = losses(made), losses(made.withColumn("formatted", F.expr("substring(formatted, 2)")))
+    assert whole[1][:2] == (3, 15) and whole[2][:2] == (0, 0) and shifted[1] != whole[1] and shifted[2] == whole[2]
+
+
 def test_encoder_equals_tokenizer():
     e, rng = WordEncoder(), random.Random(3)
     pool = "abcTHE'sdmlv  \n.,!?%&*|#0189éèüßñçØž_-/()[]{}<>|日😀²½ªº́\xa0\t"
