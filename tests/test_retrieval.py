@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexground.functions import entities as E
@@ -120,6 +121,27 @@ def test_search_keeps_the_best_of_a_task(spark):
     assert search.vector_search(rows, asked.limit(0), 5).count() == 0
 
 
+def test_search_multiplies_blocks(spark):
+    """No join makes the pairs; ties, zero vectors, and vectors that only a comparison can judge rank as they do one by one."""
+    import random
+
+    r = random.Random(3)
+    some = [[r.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    vectors = [some[i % 40] if i % 3 else [r.gauss(0, 1) for _ in range(4)] for i in range(900)] + [[0.0] * 4] * 9 + [[2 * x for x in some[1]]] * 9
+    odd = [None, [1.0, None, 0.0, 0.0], [1.0], [math.nan, 0.0, 0.0, 0.0], [math.inf, 0.0, 0.0, 0.0], [1e200, 0.0, 0.0, 0.0], []]
+    table = lambda vs, key: spark.createDataFrame(list(enumerate(vs)), f"{key} long, embedding array<double>")
+    for rows, asked in ((vectors, vectors[:50]), (vectors, [[0.0] * 4] + odd), (vectors[:30] + odd + vectors[900:], vectors[:20] + odd + [[0.0] * 4]), (odd, vectors[:3])):
+        stored, queries_ = table(rows, "id").withColumn("id", F.concat(F.lit("r"), "id")), table(asked, "query_id")
+        hits = search.vector_search(stored, queries_, 5)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        if asked == vectors[:50]:
+            assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+        pairs = search._compared(stored, queries_, 4)
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id")
+        want = pairs.withColumn("rank", F.row_number().over(order) - 1).filter("rank < 5").select("query_id", "id", "rank", F.round("similarity", 4))
+        assert sorted(map(str, map(tuple, hits.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
 def test_store(spark, tmp_path):
     from lexground.operators import embedding
     from lexground.sources.store import VectorStore
