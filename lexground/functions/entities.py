@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import strip
+from .vectors import bind
 
 #: Reference patterns (fixed values).
 ARTICLE, SECTION, PART = r"(?i)(?:Article|Art\.?)\s+(\d+[A-Z]?)", r"(?i)(?:Section|Sec\.?)\s+(\d+[A-Z]?)", r"(?i)Part\s+([IVX]+[A-Z]?)"
@@ -40,16 +41,22 @@ def part_refs(c: Column | str) -> Column:
 def case_refs(c: Column) -> Column:
     """X_v_Y; both raw sides longer than three characters.  Rows without a separator skip the pattern, which is slow on long
     runs of letters."""
-    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(CASE_ANCHORED), 1).alias("a"), F.regexp_extract_all(c, F.lit(CASE_ANCHORED), 2).alias("b"))
+    # a match is searched for once in the whole text, its sides in the match alone
+    whole = F.regexp_extract_all(c, F.lit(CASE_ANCHORED), 0)
+    pairs = F.transform(whole, lambda m: F.struct(F.regexp_extract(m, "^" + CASE, 1).alias("a"), F.regexp_extract(m, "^" + CASE, 2).alias("b")))
     kept = F.filter(pairs, lambda p: (F.length(p["a"]) > 3) & (F.length(p["b"]) > 3))
     found = F.array_distinct(F.transform(kept, lambda p: F.concat(strip(p["a"]), F.lit("_v_"), strip(p["b"]))))
     return F.when(c.rlike(r"\s(?:v\.|vs)"), found).otherwise(F.array().cast("array<string>"))
 
 
 def concepts(c: Column | str) -> Column:
+    """Only texts that hold a concept's letters, of either case, are searched for its words."""
     text = F.col(c) if isinstance(c, str) else c
-    hits = [F.when(text.rlike(rf"(?i)\b{k}\b"), F.lit(k.replace(" ", "_"))) for k in CONCEPTS]
-    return F.array_compact(F.array(*hits))
+
+    def hits(low: Column) -> Column:
+        return F.array(*[F.when(low.contains(k) & text.rlike(rf"(?i)\b{k}\b"), F.lit(k.replace(" ", "_"))) for k in CONCEPTS])
+
+    return F.array_compact(bind(F.lower(text), hits))
 
 
 def entity_type(c: Column | str) -> Column:

@@ -10,6 +10,8 @@ from ..functions.text import clean_title, document_title, remove_footers, strip,
 MIN_TOKENS, MAX_CHUNK, SUBDIVIDE_FROM, MIN_REGEX_CHUNKS = 50, 512, 512, 5
 #: The article pattern: number, title line, lazy body up to the next article, part or the end (a fixed value).
 ARTICLE = r"(?mi)(?:^|\n)\s*(\d+[A-Z]?)\s*[.—\-]?\s*([^\n]+?)\n([\s\S]*?)(?=\n\s*(?:\d+[A-Z]?)\s*[.—\-]|\nPART\s+[IVX]+|\z)"
+#: The same matches: a body can only end before a line break or with the text, so whole lines are taken and only breaks are tried.
+ARTICLE_BY_LINES = r"(?mi)(?:^|\n)\s*(\d+[A-Z]?)\s*[.—\-]?\s*([^\n]+?)\n([^\n]*+(?:\n(?!\s*(?:\d+[A-Z]?)\s*[.—\-]|PART\s+[IVX]+)[^\n]*+)*+)"
 #: The marker of a numbered part (a fixed value).
 MARKER = r"\n\s*\(\d+\)\s*"
 _CUT = "\x01"
@@ -20,7 +22,7 @@ def article_chunks(docs: DataFrame, text: str = "text", *carried: str) -> DataFr
     pass finds whole articles."""
     head = r"(?i)^\s*(\d+[A-Z]?)\s*[.—\-]?\s*([^\n]+?)\n"
     # rows are made in two steps, so that what a step computes is an attribute to the next and computed once
-    whole = docs.select("doc_id", *carried, F.posexplode(F.regexp_extract_all(text, F.lit(ARTICLE), 0)).alias("pos", "whole"))
+    whole = docs.select("doc_id", *carried, F.posexplode(F.regexp_extract_all(text, F.lit(ARTICLE_BY_LINES), 0)).alias("pos", "whole"))
     parts = F.struct(F.regexp_extract("whole", head, 1).alias("article"), clean_title(F.regexp_extract("whole", head, 2)).alias("title"), strip(F.regexp_replace("whole", head, "")).alias("body"))
     rows = whole.select("doc_id", *carried, "pos", F.explode(F.array(parts)).alias("p"))
     content = F.concat(F.lit("Article "), "p.article", F.lit(". "), "p.title", F.lit("\n"), "p.body")

@@ -88,6 +88,24 @@ def test_chunking_and_relations(spark):
     assert ("Article_14", "related_to", "Article_15") in rels and ("Article_1", "discusses", "state") in rels
 
 
+def test_patterns_match_the_same(spark):
+    """The article pattern by lines, and concepts and cases searched for in two steps, against the plain patterns."""
+    import random
+
+    r = random.Random(7)
+    parts = ["\n", "\n\n", " ", "1", "12A", ".", "—", "-", "PART IV", "part x", "Title", "life", "State", "personal liberty", "PERSONAL LIBERTY", "states", " v. ", " vs ", "Alpha Beta", "(", ",", "\r", "\t", "x"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(4000)]
+    assert len(chunking.ARTICLE_BY_LINES) and any("\n1." in t for t in texts)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(rf"(?i)\b{k}\b"), F.lit(k.replace(" ", "_"))) for k in E.CONCEPTS]))
+    pairs = F.arrays_zip(F.regexp_extract_all("t", F.lit(E.CASE), 1).alias("a"), F.regexp_extract_all("t", F.lit(E.CASE), 2).alias("b"))
+    kept = F.filter(pairs, lambda p: (F.length(p["a"]) > 3) & (F.length(p["b"]) > 3))
+    cases = F.array_distinct(F.transform(kept, lambda p: F.concat(T.strip(p["a"]), F.lit("_v_"), T.strip(p["b"]))))
+    articles = [F.regexp_extract_all("t", F.lit(p), k) for k in (0, 1, 2, 3) for p in (chunking.ARTICLE, chunking.ARTICLE_BY_LINES)]
+    for row in rows.select(*articles, plain, E.concepts("t"), cases, E.case_refs(F.col("t"))).collect():
+        assert row[0::2] == row[1::2]
+
+
 @pytest.mark.parametrize("name", ["vector_topk", "chunk_report", "recursive_chunks", "clean_raw_text", "article_refs", "graph_neighbors", "centroid_mean_pool", "hybrid_chunk", "text_embedding", "store_search", "fused_retrieval", "process_query", "answer_report"])
 def test_oracles(spark, name):
     con = duckdb.connect()
