@@ -23,10 +23,10 @@ def build_index(documents: DataFrame, store: VectorStore, config: Config = Confi
 
 
 def build_graph(chunks: DataFrame) -> dict[str, DataFrame]:
-    found = graph.with_entities(chunks).checkpoint()  # read several times below
-    nodes = graph.nodes(graph.entities(found))
-    edges = graph.edges(graph.relations(found), nodes)
-    return {"nodes": nodes, "edges": edges, "entity_chunks": graph.entity_chunks(found, nodes)}
+    found = graph.with_entities(chunks).drop("content").checkpoint()  # read several times below
+    nodes = graph.nodes(graph.entities(found)).checkpoint()
+    known = graph.sent(nodes)
+    return {"nodes": nodes, "edges": graph.edges(graph.relations(found), known), "entity_chunks": graph.entity_chunks(found, known)}
 
 
 def answer(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, knowledge: dict[str, DataFrame] | None = None, config: Config = Config(), model=None, embedder=None) -> dict[str, DataFrame]:
@@ -35,14 +35,16 @@ def answer(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, kn
     asked = embedding.embed(questions, ["query_id"], "query", embedder, config.embedding_dimensions, config.embedding_max_words)
     found = search.vector_search(chunk_vectors, asked, config.top_k).withColumnRenamed("id", "chunk_id").checkpoint()
     meta = chunks.select(F.col("id").alias("chunk_id"), "article", "content")
-    vector_hits = found.join(meta, "chunk_id")
     if knowledge is None:
         graph_hits = found.select("query_id", "chunk_id", F.lit(0.0).alias("graph_distance")).filter(F.lit(False))
     else:
-        seeds = vector_hits.filter("article is not null").groupBy("query_id", F.concat(F.lit("Article_"), "article").alias("seed")).agg(F.min("rank").alias("seed_rank"))
-        graph_hits = graph.graph_search(knowledge["edges"], knowledge["entity_chunks"].select("entity", "chunk_id"), seeds, config.graph_depth, config.top_k)
+        vector_hits = meta.filter("article is not null").select("chunk_id", "article").join(graph.sent(found), "chunk_id")
+        seeds = vector_hits.groupBy("query_id", F.concat(F.lit("Article_"), "article").alias("seed")).agg(F.min("rank").alias("seed_rank")).checkpoint()
+        near = graph.nearest(knowledge["edges"], seeds, config.graph_depth, config.top_k).checkpoint()
+        graph_hits = graph.telling_hits(near, knowledge["entity_chunks"].select("entity", "chunk_id"), found, config.top_k)
     # each stage is written out, as the ones after it read it more than once
-    hits = search.fuse(found.select("query_id", "chunk_id", "rank"), graph_hits, config.top_k).join(meta, "chunk_id", "left").checkpoint()
+    fused = search.fuse(found.select("query_id", "chunk_id", "rank"), graph_hits, config.top_k).checkpoint()
+    hits = fused.join(meta.join(graph.sent(fused.select("chunk_id")), "chunk_id", "left_semi"), "chunk_id", "left").checkpoint()
     asked_with = questions.select("query_id", "query").join(search.assemble_context(hits), "query_id")
     answers = generation.generate(asked_with, model).withColumnRenamed("query_id", "answer_id").checkpoint()
     found_spans = spans.detect(answers).checkpoint()

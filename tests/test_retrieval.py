@@ -106,6 +106,17 @@ def test_patterns_match_the_same(spark):
         assert row[0::2] == row[1::2]
 
 
+def test_graph_needs_no_content(spark):
+    """The graph is made of what is extracted, so that no content is written out for it; own links also of repeated documents."""
+    rows = [(1, 0, "1", "a", "Article 1 and Article 2 on life"), (1, 0, "2", "b", "Article 1 and Section 3"), (1, 1, "2", "c", "Article 2"), (2, 0, None, "d", "Article 1 of equality, Article 1")]
+    found = graph.with_entities(spark.createDataFrame(rows, "doc_id long, pos int, article string, chunk_id string, content string")).drop("content")
+    assert ("Article_1", "related_to", "Article_2") in {tuple(r)[2:] for r in graph.relations(found).collect()}
+    known = graph.nodes(graph.entities(found))
+    assert sorted((r["entity"], r["chunk_id"], r["own"]) for r in graph.entity_chunks(found, known).collect()) == [
+        ("Article_1", "a", True), ("Article_1", "d", False), ("Article_2", "b", True), ("Article_2", "c", True), ("Section_3", "b", False), ("equality", "d", False), ("life", "a", False),
+    ]
+
+
 @pytest.mark.parametrize("name", ["vector_topk", "chunk_report", "recursive_chunks", "clean_raw_text", "article_refs", "graph_neighbors", "centroid_mean_pool", "hybrid_chunk", "text_embedding", "store_search", "fused_retrieval", "process_query", "answer_report"])
 def test_oracles(spark, name):
     con = duckdb.connect()
@@ -160,6 +171,23 @@ def test_search_multiplies_blocks(spark):
         assert sorted(map(str, map(tuple, hits.collect()))) == sorted(map(str, map(tuple, want.collect())))
 
 
+def test_fusion_of_telling_hits(spark):
+    """Of chunks with the same links only the first few and the vector hits are joined with queries; the fused rows are the same."""
+    import random
+
+    r = random.Random(5)
+    names = [f"Article_{i}" for i in range(6)]
+    links = [(e, f"c{c:04d}") for c in range(3000) for e in r.choices(names, k=r.randint(1, 3))]
+    near = [(q, e, r.choice([0.0, 1.0, 2.0, math.inf])) for q in range(12) for e in r.sample(names, 3)]
+    hits = [(q, f"c{c:04d}", i) for q in range(14) for i, c in enumerate(r.sample(range(3200), 3) + r.sample(range(5), 2))]
+    links = spark.createDataFrame(links, "entity string, chunk_id string")
+    near = spark.createDataFrame(near, "query_id long, entity string, graph_distance double")
+    hits = spark.createDataFrame(hits, "query_id long, chunk_id string, rank int")
+    every, few = near.join(links, "entity"), graph.telling_hits(near, links, hits, 5)
+    assert few.count() < every.count() / 4
+    assert sorted(map(tuple, search.fuse(hits, few, 5).collect())) == sorted(map(tuple, search.fuse(hits, every, 5).collect()))
+
+
 def test_store(spark, tmp_path):
     from lexground.operators import embedding
     from lexground.sources.store import VectorStore
