@@ -46,6 +46,29 @@ def test_spans(spark):
     assert [r["s"] for r in rows.collect()] == ["supported", "uncertain", "hallucinated"]
 
 
+def test_spans_against_a_plain_comparison(spark):
+    """Dimensions travel with the spans; texts may hold what marks them, and sentences be long."""
+    import random
+    import time
+
+    from lexground.functions import vectors as V
+
+    r = random.Random(11)
+    some = ["state", "State", "life", "the", "provided", "based", "on", "\x01", "a\x0141", "ΣΑΣ", "İx", "1", "end.", "ask?", "\t", "\n", "life", "equal"]
+    text = lambda n: " ".join(r.choices(some, k=r.randint(0, n)))
+    rows = [(i, text(30), text(40)) for i in range(60)] + [(60, None, "life"), (61, "life and state here", None), (62, "", ""), (63, "life life life life", "life")]
+    answers = spark.createDataFrame(rows, "answer_id long, answer string, context string")
+    plain = answers.withColumn("dense", V.hashed_embedding(F.coalesce("context", F.lit("")))).select("answer_id", "dense", F.explode(spans.spans_of(F.col("answer"))).alias("span"))
+    plain = plain.filter(~spans.is_generic(F.col("span"))).withColumn("c", V.sparse_cosine(V.word_dimensions("span"), F.col("dense"), V.norm("dense")))
+    want = plain.select("answer_id", "span", F.round("c", 4).alias("confidence"), spans.status(F.round("c", 9)).alias("status")).collect()
+    assert len(want) > 1000 and sorted(map(tuple, want)) == sorted(map(tuple, spans.detect(answers).collect()))
+    began = time.time()
+    n = 12_000
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i)), " ").alias("answer"))
+    assert long.select(F.size(spans.spans_of(F.col("answer")))).first()[0] == 4 * n - 18
+    assert time.time() - began < 15  # each of its 48,000 windows took another split of the sentence
+
+
 def test_scores(spark):
     answers = spark.createDataFrame([(1,), (2,)], "answer_id long")
     found = spark.createDataFrame([(1, "a", 0.8, "supported"), (1, "b", 0.5, "uncertain"), (1, "c", 0.1, "hallucinated"), (1, "d", 0.7, "supported")], "answer_id long, span string, confidence double, status string")
